@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers that cache)
+
+from ..session import ship_package
 
 #: Bytes that one Arrow batch from the JVM may hold, and code points of one slice worked on at once.
 BATCH_BYTES = 8 << 20
@@ -44,6 +45,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
