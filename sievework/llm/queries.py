@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sentencepiece_bpe, simhash, toxicity
+from . import secret_scan, sentencepiece_bpe, simhash, source_mix, toxicity
 from .common import held_out
 
 
@@ -32,17 +32,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest_documents(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_simhash": op3_simhash,
+        "op4_secrets": op4_secrets,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_mix": op7_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix": source_mix.SQL}
