@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secret_scan, sentencepiece_bpe, simhash, source_mix, toxicity
+from . import secret_scan, sentencepiece_bpe, simhash, source_mix, toxicity, url_rules, warc
 from .common import held_out
 
 
@@ -28,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), spans.alias("spans"))
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), url_rules.rules_table(spark, url_rules.RULES))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,15 +48,21 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_url_rules": op2_url_rules,
         "op3_simhash": op3_simhash,
         "op4_secrets": op4_secrets,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_mix": op7_mix,
+        "op8_warc": op8_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix": source_mix.SQL}
+    return {"op2_url_rules": url_rules.SQL, "op7_mix": source_mix.SQL, "op8_warc": warc.SQL}
