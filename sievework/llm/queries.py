@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secret_scan, sentencepiece_bpe, simhash, source_mix, toxicity, url_rules, warc
+from . import embedding_dedup, secret_scan, sentencepiece_bpe, simhash, source_mix, toxicity, url_rules, va_topk, warc
 from .common import held_out
 
 
@@ -52,6 +52,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -61,8 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece": op5_sentencepiece,
         "op7_mix": op7_mix,
         "op8_warc": op8_warc,
+        "op9_embedding_dedup": op9_embedding_dedup,
+        "op10_top_k": op10_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_rules": url_rules.SQL, "op7_mix": source_mix.SQL, "op8_warc": warc.SQL}
+    return {"op2_url_rules": url_rules.SQL, "op7_mix": source_mix.SQL, "op8_warc": warc.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op10_top_k": va_topk.SQL}
