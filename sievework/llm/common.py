@@ -66,6 +66,21 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterat
         at = to
 
 
+def annotate(docs: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[pa.Array]], added: str, kinds: list[pa.DataType]) -> DataFrame:
+    """All columns of docs as they are, and new ones of each row's text. Names may clash: columns go by position."""
+    n, at = len(docs.columns), docs.columns.index(text_col)
+    schema = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    names = [*[f"_{i}" for i in range(n)], *[f"_new{k}" for k in range(len(kinds))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, f"_{at}"):
+                new = fn(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *[x.cast(k) for x, k in zip(new, kinds)]], names)
+
+    return map_arrow(docs.toDF(*names[:n]), run, f"{schema}, {added}")
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo the folds, is 0; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, secret_scan, sentencepiece_bpe, simhash, source_mix, toxicity, url_rules, va_topk, warc
+from . import embedding_dedup, quality, secret_scan, sentencepiece_bpe, simhash, source_mix, toxicity, url_rules, va_topk, warc
 from .common import held_out
 
 
@@ -44,6 +44,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest_documents(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_secrets": op4_secrets,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_quality": op6_quality,
         "op7_mix": op7_mix,
         "op8_warc": op8_warc,
         "op9_embedding_dedup": op9_embedding_dedup,
