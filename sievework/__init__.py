@@ -1,0 +1,3 @@
+"""Data quality and data preparation on Spark DataFrames."""
+
+__version__ = "0.1.0"
