@@ -143,7 +143,8 @@ class FillMissing(CleaningOperation):
             if not is_numeric(kind_of(df, c)):
                 raise DataValidationError(f"{self.strategy} needs numbers; column {c!r} has {kind_of(df, c).simpleString()}")
         f = (lambda c: F.avg(value(df, c))) if self.strategy == "mean" else (lambda c: F.percentile(value(df, c), F.lit(0.5)))
-        row = df.agg(*[f(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).first()
+        # A column without missing values is left as it is, its type too.
+        row = df.agg(*[F.when(F.count_if(missing(df, c)) > 0, f(c).cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).first()
         return {c: v for c, v in zip(names, row) if v is not None}
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -413,7 +414,7 @@ def auto_fill(df: DataFrame, strategy: str | None = None, fill: Any = None) -> D
         return FillMissing(strategy).apply(df)
     names = df.columns
     f = lambda c: F.percentile(value(df, c), F.lit(0.5)) if is_numeric(kind_of(df, c)) else F.mode(value(df, c), True)
-    row = df.agg(*[f(c).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    row = df.agg(*[F.when(F.count_if(missing(df, c)) > 0, f(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
     return fill_with(df, {c: v for c, v in zip(names, row) if v is not None})
 
 

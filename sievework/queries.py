@@ -67,7 +67,7 @@ def each(columns: list[str], template: str) -> str:
 
 
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # Missing values
@@ -137,7 +137,7 @@ def _outlier_sql(t: str, columns: list[str]) -> str:
 add("stats_outliers", "dirty_orders", lambda df: I.outlier_table(df, ["o_totalprice", "o_custkey"]).select("column", "outliers"), _outlier_sql("dirty_orders", ["o_totalprice", "o_custkey"]))
 add("describe", "part", lambda df: rounded(I.describe_table(df.select("p_size", "p_retailprice", "p_type")).select("column", "count", "unique", "top", "freq", "mean", "std"), 3), " UNION ALL ".join([f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS STRING) AS top, CAST(NULL AS BIGINT) AS freq, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std FROM part" for c in ("p_size", "p_retailprice")] + ["SELECT 'p_type', (SELECT count(p_type) FROM part), (SELECT count(DISTINCT p_type) FROM part), t, n, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM (SELECT p_type AS t, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"]))
 _cols = lambda df: df.select(*LINE)
-_pair = lambda f, n: " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({f}({a}, {b}), 3) AS {n} FROM lineitem" for a in LINE for b in LINE)
+_pair = lambda f, n: " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({f}({a}, {b}), 3) + 0.0::DOUBLE AS {n} FROM lineitem" for a in LINE for b in LINE)
 add("corr_pearson", "lineitem", lambda df: rounded(I.correlation_table(_cols(df)), 3), _pair("corr", "correlation"))
 add("covariance", "lineitem", lambda df: rounded(I.covariance_table(_cols(df)), 3), _pair("covar_samp", "covariance"))
 _RANKS = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in ("p_size", "p_retailprice")) + " FROM part) "
