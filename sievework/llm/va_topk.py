@@ -12,7 +12,8 @@ scan: a vector that a third of all rows share costs no more than that. Nothing e
 
 Vectors that are null, empty, or hold null or non-finite components, and rows with a null id, take no part. Lengths that
 differ never meet. Rows of the query's id are its own. Repeated rows tie by id; a pair of equal ids is listed twice.
-Scores outside 64 bits are clamped. Empty tables, and tables of one row, give empty ones.
+Scores outside 64 bits are ranked exactly and
+clamped when returned. Empty tables, and tables of one row, give empty ones.
 """
 
 from __future__ import annotations
@@ -101,6 +102,9 @@ def _exact(k: int):
     """Rows of a query together, best bound first: its k best exact scores."""
     names = ["query_id", "rank", "vec_id", "score"]
 
+    def ranked(query_id: int, best: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        return [(query_id, r + 1, v, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, v) in enumerate(best)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, best, certain, query = None, [], False, None
         for batch in batches:
@@ -108,7 +112,7 @@ def _exact(k: int):
             data = (batch.column(c).to_pylist() for c in ("query_id", "vec_id", "most", "query", "exact"))
             for qid, vid, most, qv, xv in zip(*data):
                 if qid != here:
-                    out += [(here, r + 1, v, -s) for r, (s, v) in enumerate(best)]
+                    out += ranked(here, best)
                     here, best, certain, query = qid, [], False, np.frombuffer(qv, np.float64)
                 if certain or len(best) == k and most < -best[-1][0]:
                     certain = True
@@ -117,11 +121,11 @@ def _exact(k: int):
                 if np.abs(query).sum() * np.abs(x).max() < 2**53:
                     score = int(query @ x)
                 else:
-                    score = max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(query.tolist(), x.tolist()))))
+                    score = sum(int(a) * int(b) for a, b in zip(query.tolist(), x.tolist()))
                 best = sorted([*best, (-score, vid)])[:k]
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
-        cols = list(zip(*[(here, r + 1, v, -s) for r, (s, v) in enumerate(best)])) if best else [[]] * 4
+        cols = list(zip(*ranked(here, best))) if best else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
 
     return run
