@@ -33,3 +33,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if split.isEmpty():
             break
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+class Forest:
+    """Union-find over the members of a cell; union() says whether the edge joins two trees."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def union(self, a: int, b: int) -> bool:
+        up = self.up
+        for x in (a, b):
+            up.setdefault(x, x)
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a == b:
+            return False
+        up[max(a, b)] = min(a, b)
+        return True

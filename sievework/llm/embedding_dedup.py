@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow, materialise
-from .components import connected_components
-from .simhash import _Forest
+from .components import Forest, connected_components
 from .vectors import dense
 
 TABLES, HASHES, SEED = 5, 2, 97
@@ -151,7 +150,7 @@ def _compare(threshold: float, packed: str):
             rep, many, label = np.asarray(table["rep"]), np.asarray(table["many"]), np.asarray(table["label"]).astype(np.int64)
             data = table["vector"].to_pylist()
             size = np.array([len(v) for v in data])
-            forest, ea, eb = _Forest(), [], []
+            forest, ea, eb = Forest(), [], []
             total: dict[int, int] = {}
             for width in np.unique(size).tolist():  # keys of different lengths differ, so cells stay whole
                 rows = np.flatnonzero(size == width)

@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow, materialise, slices
-from .components import connected_components
+from .components import Forest, connected_components
 
 SEED = 42
 WORDS = 3
 LIMIT = 3
 #: Coarse segments (the grid's dimensions) and fine ones (the order inside a cell).
 SEGMENTS, FINE = 4, 8
-#: Fingerprints at home that a task compares at once, and how many ways a cell's homes are dealt out for each so many.
+#: Copies of a label that a hot fingerprint's rows are dealt over.
+SALTS = 8
+#: Fingerprints for each part that a cell's homes are dealt out in (a cell has some thousandth of all at most).
 HOMES_A_TASK = 200_000_000
 
 
@@ -101,26 +103,6 @@ def _pack(vectors: np.ndarray, base: int = 128) -> np.ndarray:
     return vectors @ (base ** np.arange(vectors.shape[1], dtype=np.int64))
 
 
-class _Forest:
-    """Union-find over the rows of a cell; union() says whether the edge joins two trees."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def union(self, a: int, b: int) -> bool:
-        up = self.up
-        for x in (a, b):
-            up.setdefault(x, x)
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
-        if a == b:
-            return False
-        up[max(a, b)] = min(a, b)
-        return True
-
-
 def _cells(limit: int, parts: int):
     """Arrow function: (fp, rep) -> (cell, part, visit, fp, rep), homes and visits."""
     ball = _ball(SEGMENTS, limit)
@@ -156,9 +138,9 @@ def _meet(limit: int, parts: int):
     coarse = _pack(fine.reshape(len(fine), SEGMENTS, FINE // SEGMENTS).sum(2), 32)
     by_shift = {int(s): np.sort(_pack(fine[coarse == s])) for s in np.unique(coarse)}
 
-    def pairs(fa, ra, fb, rb, shift: int, own: bool):
-        """Representatives of visitors a and sorted homes b that are within the limit."""
-        keys_b, keys_a = rb[1], _pack(_popcounts(fa, FINE))
+    def pairs(fa: np.ndarray, fb: np.ndarray, keys_b: np.ndarray, shift: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers of visitors a and sorted homes b that are within the limit."""
+        keys_a = _pack(_popcounts(fa, FINE))
         for step in by_shift.get(shift, ()):
             want = keys_a + step
             lo, hi = np.searchsorted(keys_b, want), np.searchsorted(keys_b, want, side="right")
@@ -177,13 +159,13 @@ def _meet(limit: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes: list[tuple[np.ndarray, np.ndarray]] = []
-        here, ready, forest = None, None, _Forest()
+        here, ready, forest = None, None, Forest()
         out_a: list[int] = []
         out_b: list[int] = []
 
-        def match(fa, ra, shift, own):
-            fb, kb, rb = ready
-            for i, j in pairs(fa, ra, fb, (rb, kb), shift, own):
+        def match(fa: np.ndarray, ra: np.ndarray, shift: int, own: bool) -> None:
+            fb, keys_b, rb = ready
+            for i, j in pairs(fa, fb, keys_b, shift, own):
                 for x, y in zip(ra[i].tolist(), rb[j].tolist()):
                     if forest.union(x, y):
                         out_a.append(x)
@@ -213,7 +195,7 @@ def _meet(limit: int, parts: int):
                 if spot[a] != here:
                     if here is not None and ready is None:
                         settle()
-                    here, ready, homes, forest = spot[a], None, [], _Forest()
+                    here, ready, homes, forest = spot[a], None, [], Forest()
                 if not visit[a]:
                     homes.append((fp[a:b], rep[a:b]))
                     continue
@@ -261,6 +243,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"])
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-SALTS = 8

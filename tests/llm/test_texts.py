@@ -54,7 +54,7 @@ def test_pieces_digests(spark, encoder):
         ids = encoder.library.encode(t or "")
         assert rows[i].n_tokens == len(ids)
         assert rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert rows[i].decoded_sha256 == hashlib.sha256(encoder.library.decode(ids).encode()).hexdigest() if ids else True
+        assert rows[i].decoded_sha256 == hashlib.sha256((t or "").replace("\u2581", " ").encode()).hexdigest()
     assert sentencepiece_bpe.digest_documents(docs(spark, []), piece_model()).count() == 0
     whole = {r.doc_id: r for r in sentencepiece_bpe.encode_documents(docs(spark, texts), piece_model()).collect()}
     assert whole[0].ids == encoder.library.encode(texts[0]) and whole[0].decoded == texts[0] and whole[1].ids == []
