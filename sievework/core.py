@@ -8,7 +8,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from .config import CleanerConfig
+from .operators.clean import MissingTokenOperation
 from .operators.detector import HealthReport, IssueDetector
+from .operators.inspect import MissingValueInspector, Report
 from .operators.profile import DatasetProfile, DatasetProfiler
 from .operators.rules import RuleEngine, RuleResult
 from .plans.cleaning import CleaningPlan, CleaningResult
@@ -18,6 +20,14 @@ class Cleaner:
     def __init__(self, config: CleanerConfig | None = None):
         self.config = config or CleanerConfig()
 
+    def missing(self, df: DataFrame) -> Report:
+        """Missing values, of columns from the configured threshold on."""
+        return MissingValueInspector().inspect(df, threshold=self.config.missing_threshold)
+
+    def fix_tokens(self, df: DataFrame) -> DataFrame:
+        """Missing-value tokens, the configured ones among them, as missing."""
+        return MissingTokenOperation(self.config.missing_value_tokens).apply(df)
+
     def inspect(self, df: DataFrame) -> HealthReport:
         return IssueDetector().inspect(df)
 

@@ -128,6 +128,10 @@ def test_empty_frames(spark):
 
 
 def test_detector_and_plan(raw):
+    from sievework.config import CleanerConfig
+
+    mine = Cleaner(CleanerConfig(("n3",), 50.0))
+    assert [x.column for x in mine.missing(raw).reports] == ["empty_col"] and mine.fix_tokens(raw).filter("name is null").count() == 2
     r = Cleaner().inspect(raw)
     titles = {(i.title, i.columns) for i in r.issues}
     assert ("Column is empty", ("empty_col",)) in titles and ("Constant column", ("constant_col",)) in titles and ("Dates stored as text", ("day",)) in titles
