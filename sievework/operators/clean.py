@@ -20,6 +20,7 @@ from ..errors import DataTypeConversionError, DataValidationError, EncodingError
 from ..functions import kernels as K
 from ..functions.kernels import col, is_numeric, kind_of, missing, string_columns, value
 from ..plans.metrics import per_column
+from ..plans.quantiles import exact_quantiles
 from ..session import ship_package
 from .inspect import _need, plain
 from .rowid import need_columns, need_frame, order_of
@@ -142,9 +143,11 @@ class FillMissing(CleaningOperation):
         for c in names:
             if not is_numeric(kind_of(df, c)):
                 raise DataValidationError(f"{self.strategy} needs numbers; column {c!r} has {kind_of(df, c).simpleString()}")
-        f = (lambda c: F.avg(value(df, c))) if self.strategy == "mean" else (lambda c: F.percentile(value(df, c), F.lit(0.5)))
         # A column without missing values is left as it is, its type too.
-        row = df.agg(*[F.when(F.count_if(missing(df, c)) > 0, f(c).cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        row = df.agg(*[F.when(F.count_if(missing(df, c)) > 0, F.avg(value(df, c)).cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        if self.strategy == "median":
+            need = [c for c, v in zip(names, row) if v is not None]
+            return {c: q[0] for c, q in exact_quantiles(df, need, (0.5,), lambda c: value(df, c).cast("double")).items() if q}
         return {c: v for c, v in zip(names, row) if v is not None}
 
     def apply(self, df: DataFrame) -> DataFrame:

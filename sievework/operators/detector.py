@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import kernels as K
 from ..functions.kernels import col, is_numeric, kind_of, missing, numeric_columns, string_columns, value
 from ..plans.metrics import distinct_and_mode, per_column
+from ..plans.quantiles import exact_quantiles
 from .inspect import anomaly_table, duplicate_summary, near_duplicate_summary
 from .rowid import need_frame, order_of
 
@@ -152,7 +153,7 @@ class IssueDetector:
         if not able:
             return {}
         v = lambda c: value(df, c).cast("double")
-        q = {r["column"]: r["q"] for r in per_column(df, able, {"q": lambda c: F.percentile(v(c), F.array(F.lit(0.25), F.lit(0.75)))}).collect()}
+        q = exact_quantiles(df, able, (0.25, 0.75), v)
         able = [c for c in able if q[c] and q[c][1] > q[c][0]]
         if not able:
             return {}

@@ -18,6 +18,7 @@ from ..errors import DependencyError
 from ..functions import kernels as K
 from ..functions.kernels import col, finite, kind_of, missing, numeric_columns, string_columns, value
 from ..plans.metrics import distinct_and_mode, per_column
+from ..plans.quantiles import exact_quantiles
 from .rowid import need_columns, need_frame, order_of, with_row_id
 
 EMPTY = "Cannot inspect an empty DataFrame."
@@ -203,15 +204,18 @@ class DatatypeInspector:
 # Statistics
 
 
-def statistics_table(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """Per numeric column: count, missing, infinite, extremes, moments, quartiles, sum, signs. accuracy: approximate quartiles.
+def statistics_table(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None, quartiles: dict[str, list[float] | None] | None = None) -> DataFrame:
+    """Per numeric column: count, missing, infinite, extremes, moments, quartiles, sum, signs.
 
-    Exact quartiles keep a count per distinct value of a column in one task; accuracy bounds that (percentile_approx).
+    Exact quartiles keep a count per distinct value of a column in one task. Either accuracy bounds that
+    (percentile_approx), or quartiles found before, by exact_quantiles(), stand in.
     """
     columns = list(columns or numeric_columns(df))
     f = lambda c: finite(df, c)
     probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     quart = (lambda c: F.percentile_approx(f(c), [0.25, 0.5, 0.75], accuracy)) if accuracy else (lambda c: F.percentile(f(c), probs))
+    if quartiles is not None:
+        quart = lambda c: F.first(F.array(*map(F.lit, quartiles[c])) if quartiles.get(c) else F.lit(None).cast("array<double>"))
     inf = lambda c: F.count_if(~missing(df, c) & f(c).isNull())
     t = per_column(df, columns, {
         "count": lambda c: F.count(f(c)), "missing": lambda c: F.count_if(missing(df, c)), "infinite_count": inf,
@@ -229,12 +233,10 @@ def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, keep_
     if not columns:
         return {}
     f = (lambda c: value(df, c).cast("double")) if keep_infinite else (lambda c: finite(df, c))
-    t = per_column(df, columns, {"q": lambda c: F.percentile(f(c), F.array(F.lit(0.25), F.lit(0.75)))})
     out = {}
-    for r in t.collect():
-        if r["q"]:
-            a, b = r["q"]
-            out[r["column"]] = (a - multiplier * (b - a), b + multiplier * (b - a))
+    for c, q in exact_quantiles(df, columns, (0.25, 0.75), f).items():
+        if q:
+            out[c] = (q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0]))
     return out
 
 
@@ -258,7 +260,8 @@ class StatisticsInspector:
         names = numeric_columns(df)
         if not names:
             return Report({"numeric_columns": 0, "constant_columns": (), "analyzed_columns": ()})
-        rows = {r["column"]: r for r in _rows(statistics_table(df, names, accuracy))}
+        quartiles = None if accuracy else exact_quantiles(df, names, (0.25, 0.5, 0.75), lambda c: finite(df, c))
+        rows = {r["column"]: r for r in _rows(statistics_table(df, names, accuracy, quartiles))}
         clean = df.select(*[finite(df, c).alias(c) for c in names])
         more = {r["column"]: r for r in _rows(distinct_and_mode(clean, names))}
         out = {r["column"]: r["outliers"] for r in _rows(outlier_table(df, list(rows)))} if rows else {}
