@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sievework-")
+        folder = tempfile.mkdtemp(prefix="sievework-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
