@@ -204,11 +204,11 @@ class DatatypeInspector:
 # Statistics
 
 
-def statistics_table(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None, quartiles: dict[str, list[float] | None] | None = None) -> DataFrame:
+def statistics_table(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None, quartiles: dict[str, list[float] | None] | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: count, missing, infinite, extremes, moments, quartiles, sum, signs.
 
     Exact quartiles keep a count per distinct value of a column in one task. Either accuracy bounds that
-    (percentile_approx), or quartiles found before, by exact_quantiles(), stand in.
+    (percentile_approx), or quartiles found before, by exact_quantiles(), stand in. only names the fields to compute.
     """
     columns = list(columns or numeric_columns(df))
     f = lambda c: finite(df, c)
@@ -217,15 +217,19 @@ def statistics_table(df: DataFrame, columns: Sequence[str] | None = None, accura
     if quartiles is not None:
         quart = lambda c: F.first(F.array(*map(F.lit, quartiles[c])) if quartiles.get(c) else F.lit(None).cast("array<double>"))
     inf = lambda c: F.count_if(~missing(df, c) & f(c).isNull())
-    t = per_column(df, columns, {
+    metrics = {
         "count": lambda c: F.count(f(c)), "missing": lambda c: F.count_if(missing(df, c)), "infinite_count": inf,
         "minimum": lambda c: F.min(f(c)), "maximum": lambda c: F.max(f(c)), "mean": lambda c: F.avg(f(c)), "sum": lambda c: F.sum(f(c)),
         "variance": lambda c: F.coalesce(F.var_samp(f(c)), F.lit(0.0)), "standard_deviation": lambda c: F.coalesce(F.stddev_samp(f(c)), F.lit(0.0)),
         "skewness": lambda c: K.corrected_skewness(f(c)), "kurtosis": lambda c: K.corrected_kurtosis(f(c)),
         "zero_count": lambda c: F.count_if(f(c) == 0), "negative_count": lambda c: F.count_if(f(c) < 0), "quartiles": quart,
-    })
+    }
     q = F.col("quartiles")
-    return t.filter("count > 0").select("*", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), q[1].alias("median"), (q[2] - q[0]).alias("iqr")).drop("quartiles")
+    cut = {"q1": q[0], "q2": q[1], "q3": q[2], "median": q[1], "iqr": q[2] - q[0]}
+    names = [*[m for m in metrics if m != "quartiles"], *cut] if only is None else list(only)
+    want = {"count", *names, *(["quartiles"] if set(names) & set(cut) else [])}
+    t = per_column(df, columns, {m: x for m, x in metrics.items() if m in want}).filter("count > 0")
+    return t.select("column", *[cut[n].alias(n) if n in cut else F.col(n) for n in names])
 
 
 def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, keep_infinite: bool = False) -> dict[str, tuple[float, float]]:
@@ -500,8 +504,8 @@ def _need(package: str, what: str) -> None:
 # Text quality
 
 
-def text_quality_table(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Per text column: lengths, token counts, empties, filler, garbage."""
+def text_quality_table(df: DataFrame, subset: Sequence[str] | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """Per text column: lengths, token counts, empties, filler, garbage; or only the fields named."""
     names = list(subset or string_columns(df))
     size, tokens = (lambda c: F.length(col(c))), (lambda c: K.token_count(col(c)))
     zero = lambda x: F.coalesce(x, F.lit(0))
@@ -512,7 +516,7 @@ def text_quality_table(df: DataFrame, subset: Sequence[str] | None = None) -> Da
             f"mean_{what}": lambda c, f=f: F.coalesce(F.avg(f(c)), F.lit(0.0)), f"median_{what}": lambda c, f=f: F.coalesce(F.percentile(f(c), F.lit(0.5)), F.lit(0.0)),
         }
     metrics |= {"empty_count": lambda c: F.count_if(K.strip(col(c)) == ""), "boilerplate_count": lambda c: F.count_if(K.is_filler(col(c))), "garbage_count": lambda c: F.count_if(K.has_garbage(col(c)))}
-    return per_column(df, names, metrics)
+    return per_column(df, names, metrics if only is None else {m: metrics[m] for m in only})
 
 
 class TextQualityAnalyzer:

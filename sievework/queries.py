@@ -123,9 +123,9 @@ add("memory_largest", "dirty_parts", lambda df: I.memory_table(df).select("colum
 
 # Statistics
 
-add("stats_moments", "lineitem", lambda df: rounded(I.statistics_table(df, LINE).select("column", "count", "minimum", "maximum", "mean", "variance", "standard_deviation", "zero_count", "negative_count"), 3), each(LINE, "SELECT '@' AS \"column\", count(@) AS \"count\", round(min(@), 3) AS minimum, round(max(@), 3) AS maximum, round(avg(@), 3) AS mean, round(var_samp(@), 3) AS variance, round(stddev_samp(@), 3) AS standard_deviation, count(*) FILTER (WHERE @ = 0) AS zero_count, count(*) FILTER (WHERE @ < 0) AS negative_count FROM lineitem"))
-add("stats_quantiles", "lineitem", lambda df: rounded(I.statistics_table(df, LINE).select("column", "q1", "q2", "q3", "iqr", "median"), 4), each(LINE, "SELECT '@' AS \"column\", round(quantile_cont(@, 0.25), 4) AS q1, round(quantile_cont(@, 0.5), 4) AS q2, round(quantile_cont(@, 0.75), 4) AS q3, round(quantile_cont(@, 0.75) - quantile_cont(@, 0.25), 4) AS iqr, round(median(@), 4) AS median FROM lineitem"))
-add("stats_shape", "events", lambda df: rounded(I.statistics_table(df, ["value"]).select("column", "skewness", "kurtosis")), "SELECT 'value' AS \"column\", round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM events")
+add("stats_moments", "lineitem", lambda df: rounded(I.statistics_table(df, LINE, only=["count", "minimum", "maximum", "mean", "variance", "standard_deviation", "zero_count", "negative_count"]), 3), each(LINE, "SELECT '@' AS \"column\", count(@) AS \"count\", round(min(@), 3) AS minimum, round(max(@), 3) AS maximum, round(avg(@), 3) AS mean, round(var_samp(@), 3) AS variance, round(stddev_samp(@), 3) AS standard_deviation, count(*) FILTER (WHERE @ = 0) AS zero_count, count(*) FILTER (WHERE @ < 0) AS negative_count FROM lineitem"))
+add("stats_quantiles", "lineitem", lambda df: rounded(I.statistics_table(df, LINE, only=["q1", "q2", "q3", "iqr", "median"]), 4), each(LINE, "SELECT '@' AS \"column\", round(quantile_cont(@, 0.25), 4) AS q1, round(quantile_cont(@, 0.5), 4) AS q2, round(quantile_cont(@, 0.75), 4) AS q3, round(quantile_cont(@, 0.75) - quantile_cont(@, 0.25), 4) AS iqr, round(median(@), 4) AS median FROM lineitem"))
+add("stats_shape", "events", lambda df: rounded(I.statistics_table(df, ["value"], only=["skewness", "kurtosis"])), "SELECT 'value' AS \"column\", round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM events")
 add("stats_mode", "part", lambda df: distinct_and_mode(df, ["p_size", "p_type", "p_name"]).select("column", "distinct", "mode"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) FROM part) AS \"distinct\", (SELECT CAST({c} AS STRING) FROM part GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode" for c in ("p_size", "p_type", "p_name")))
 _FENCE = "(SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {t})"
 
@@ -164,12 +164,12 @@ for _keep, _f in (("first", "min"), ("last", "max")):
 # Text quality
 
 _len = lambda t, c: f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", min(length({c})) AS min_chars, max(length({c})) AS max_chars, round(avg(length({c})), 4) AS mean_chars, round(median(length({c})), 4) AS median_chars FROM {t}"
-_tq = lambda df, names, fields: rounded(I.text_quality_table(df, names).select("column", *fields))
+_tq = lambda df, names, fields: rounded(I.text_quality_table(df, names, fields))
 _CH, _TK = ["count", "min_chars", "max_chars", "mean_chars", "median_chars"], ["min_tokens", "max_tokens", "mean_tokens", "median_tokens"]
 add("textq_lengths", "documents", lambda df: _tq(df, ["text"], _CH), _len("documents", "text"))
 add("textq_tokens", "documents", lambda df: _tq(df, ["text"], _TK), "WITH n AS (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM documents) SELECT 'text' AS \"column\", min(n) AS min_tokens, max(n) AS max_tokens, round(avg(n), 4) AS mean_tokens, round(median(n), 4) AS median_tokens FROM n")
 _GARBAGE = f"contains({{c}}, '{BAD}') OR contains({{c}}, '{CTRL}') OR contains({{c}}, '{ACCENT}')"
-add("textq_counts", "dirty_parts", lambda df: I.text_quality_table(df, ["type_token", "enc_text"]).select("column", "empty_count", "boilerplate_count", "garbage_count"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE trim({c}) = '') AS empty_count, count(*) FILTER (WHERE lower(trim({c})) IN ('n/a', 'na', 'none', 'null', 'nil')) AS boilerplate_count, count(*) FILTER (WHERE {_GARBAGE.format(c=c)}) AS garbage_count FROM dirty_parts" for c in ("type_token", "enc_text")))
+add("textq_counts", "dirty_parts", lambda df: I.text_quality_table(df, ["type_token", "enc_text"], ["empty_count", "boilerplate_count", "garbage_count"]), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE trim({c}) = '') AS empty_count, count(*) FILTER (WHERE lower(trim({c})) IN ('n/a', 'na', 'none', 'null', 'nil')) AS boilerplate_count, count(*) FILTER (WHERE {_GARBAGE.format(c=c)}) AS garbage_count FROM dirty_parts" for c in ("type_token", "enc_text")))
 add("encoding_classes", "dirty_parts", lambda df: per_column(df, ["enc_text"], {"mojibake": lambda c: F.count_if(K.has_mojibake(F.col(c))), "replacement": lambda c: F.count_if(K.has_replacement(F.col(c))), "control": lambda c: F.count_if(K.has_control(F.col(c)))}), f"SELECT 'enc_text' AS \"column\", count(*) FILTER (WHERE contains(enc_text, '{ACCENT}')) AS mojibake, count(*) FILTER (WHERE contains(enc_text, '{BAD}')) AS replacement, count(*) FILTER (WHERE contains(enc_text, '{CTRL}')) AS control FROM dirty_parts")
 
 # Cleaning
