@@ -29,7 +29,7 @@ from .common import map_arrow
 
 MARK = "▁"
 #: Chunks that a Python worker remembers before it starts anew; slices of text add to it by their size only.
-CACHE = 400_000
+CACHE = 250_000
 #: Code points of chunks merged in lock step; longer ones, and ones with characters outside the vocabulary, use the heap.
 SHORT = 24
 NEVER = np.iinfo(np.int32).max
@@ -294,7 +294,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for batch in batches:
-            for part, texts in _texts(batch, 1 << 20):
+            for part, texts in _texts(batch, 1 << 19):
                 ids = [x for x, _ in enc.encode(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(ids, pa.list_(pa.int32())), pa.array(enc.library.decode(ids, num_threads=1) if ids else [], pa.string())], [id_col, "ids", "decoded"])
 
@@ -308,7 +308,7 @@ def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for batch in batches:
-            for part, texts in _texts(batch, 1 << 20):
+            for part, texts in _texts(batch, 1 << 19):
                 ids, a = [], []
                 for x, joined in enc.encode(texts):
                     ids.append(x)

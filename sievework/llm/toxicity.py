@@ -35,7 +35,7 @@ PER_CLASS, MAX_CHARS, MAX_FEATURES = 600, 20_000, 4096
 #: Steps of a block of the scan over tokens.
 BLOCK = 128
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_CACHE = 300_000
+_CACHE = 120_000
 
 
 def normal(token: str) -> str:
