@@ -51,7 +51,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix(_table(spark, sf_dir, "documents"), fill_all=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

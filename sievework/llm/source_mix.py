@@ -5,12 +5,14 @@ CAP times its source's words and the excess is shared again by weight (water-fil
 sorted by capacity per weight). A source's documents are each due r = target / words copies: floor(r) whole copies for
 certain, and one more with inclusion probability f = r - floor(r). Which ones is drawn by Pareto order sampling:
 documents are ranked by their random odds U / (1 - U), U from a hash of the id, over their inclusion odds f / (1 - f),
-and taken from the lowest rank on while the words last: the sample's size is fixed, in words. What is then still open
-is given FILLS times to the largest document left that fits it.
+and taken from the lowest rank on while the words last: the sample's size is fixed, in words. Past the first document
+that doesn't fit, the order is followed on with all documents that fit what is still open, until none does. The query
+op7_mix is bound by its SQL, which instead gives what is open FILLS times to the largest document left that fits it.
 
 Nothing sorts a source: words are summed by BINS intervals of rank, again by BINS intervals of the one interval in which
-they run out, and only that last sliver (one document in 2 ** 28 or so) is put in order. The result is one cut per
-source, so a document's copies follow from its own row and its source's.
+they run out, and only that last sliver (one document in 2 ** 28 or so) is put in order. Past the cut, documents that
+fit are put in order as far as they hold AHEAD times the words open (and to the end of an interval), which is repeated while any is left. The result
+is a few cuts per source, each with the size up to which it holds, so a document's copies follow from its own row and its source's.
 
 Null and empty texts have size 0: they get their source's whole copies (one, in a source without words) and no extra
 one, and take no words. Documents of one id share a rank and are taken or left together, repeated rows too. A null id
@@ -20,11 +22,16 @@ text and source are read by mix(), and copies_of() keeps all columns as they are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, materialise
+from .common import WORD, map_arrow, materialise
 
 CAP, BINS, FILLS, SEED = 3, 1 << 14, 2, "pareto-1"
+#: Words looked at in one go for each word that is open past the cut; ids that occur repeatedly, up to which a table of them is broadcast.
+AHEAD, FEW_IDS = 32, 300_000
 #: Sources up to which their table (some 100 bytes a row) is broadcast; beyond, rows and sources meet in a salted shuffle.
 FEW_SOURCES, SALTS = 10_000, 16
 
@@ -71,10 +78,49 @@ def _rank(doc_id: Column, f: Column) -> Column:
     return F.when(f > 0, q / (1 + q)).otherwise(1.0)
 
 
-def plan(sized: DataFrame) -> tuple[DataFrame, bool]:
-    """From (id, source, size): (source, source_size, target, whole, f, cut, fills array<double>), and whether it is short.
-
-    Documents of size above 0 with rank up to cut, or equal to one of the fills, get one copy more than whole.
+def _repeats(sized: DataFrame) -> DataFrame | None:
+    """(_id, _src, together): words of the ids that a source holds repeatedly; None where there are none."""
+    again = sized.filter("size > 0").groupBy(F.col("id").alias("_id"), F.col("source").alias("_src")).agg(F.sum("size").alias("together"), F.count("*").alias("rows"))
+    again = materialise(again.filter("rows > 1").drop("rows"), "mix-repeats")
+    n = again.count()
+    return None if not n else F.broadcast(again) if n <= FEW_IDS else again
+
+
+def _together(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """rows with the words of all rows of their id and source."""
+    if again is None:
+        return rows.withColumn("together", F.col("size"))
+    out = rows.join(again, rows["id"].eqNullSafe(again["_id"]) & rows["source"].eqNullSafe(again["_src"]), "left")
+    return out.withColumn("together", F.coalesce("together", "size")).drop("_id", "_src")
+
+
+def _go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, q, together, open), a source's rows together by rank: takes all that fit; (source, left, limit, cut) of each run of taken ones."""
+    names = ["source", "left", "limit", "cut"]
+    here, some, left, limit, cut = None, False, 0, 0, -1.0
+    out: list[tuple] = []
+    for batch in batches:
+        for source, q, size, open_ in zip(*(batch.column(c).to_pylist() for c in ("source", "q", "together", "open"))):
+            if not some or source != here:
+                if some:
+                    out.append((here, left, limit, cut))
+                here, some, left, limit, cut = source, True, open_, open_, -1.0
+            if size <= left:
+                left, cut = left - size, q
+            elif size <= limit:  # the run ends: what follows has to fit what is left now
+                out.append((here, left, limit, cut))
+                limit, cut = left, -1.0
+    if some:
+        out.append((here, left, limit, cut))
+    cols = list(zip(*out)) if out else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64()))], names)
+
+
+def plan(sized: DataFrame, fill_all: bool = True, again: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """From (id, source, size): (source, source_size, target, whole, f, cut, fills array<double>, runs), and whether it is short.
+
+    Documents of size above 0 with rank up to cut, or equal to one of the fills, get one copy more than whole; so do
+    those with rank up to the cut of one of the runs, if all rows of their id together hold no more words than its limit.
     """
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
@@ -111,8 +157,10 @@ def plan(sized: DataFrame) -> tuple[DataFrame, bool]:
     cut = F.when(F.col("bin1").isNull(), 2.0).when(F.col("cut3").isNull(), -F.lit(1.0)).otherwise(F.col("cut3"))
     table = table.withColumn("cut", cut).withColumn("open", F.when(F.col("bin1").isNotNull(), F.col("left2") - F.coalesce("run3", F.lit(0))).otherwise(0))
     table = table.withColumn("under", F.when(F.col("cut3").isNull() & F.col("bin1").isNotNull(), edge).otherwise(F.lit(-1.0)))
-    table = table.select("source", "source_size", "target", "whole", "f", "want", "cut", "under", "open", F.array().cast("array<double>").alias("fills"))
+    table = table.select("source", "source_size", "target", "whole", "f", "want", "cut", "under", "open", F.array().cast("array<double>").alias("fills"), F.array().cast("array<struct<limit:bigint,cut:double>>").alias("runs"))
     table = materialise(table, "mix-cuts")
+    if fill_all:
+        return _follow(table, few, again, ranked, coarse, cut_bin), few
     for _ in range(FILLS):
         free = ranked(table).filter(~_extra() & (F.col("size") <= F.col("open")))
         best = free.groupBy("source").agg(F.max(F.struct("size", -F.col("q"))).alias("best")).select("source", F.col("best.size").alias("more"), (-F.col("best.col2")).alias("at"))
@@ -122,6 +170,26 @@ def plan(sized: DataFrame) -> tuple[DataFrame, bool]:
     return table, few
 
 
+def _follow(table: DataFrame, few: bool, again: DataFrame | None, ranked, coarse: Column, cut_bin) -> DataFrame:
+    """The table with the runs past the cut."""
+    rest = _together(ranked(table.filter("open > 0")) if few else ranked(table), again).filter(~_extra() & (F.col("together") <= F.col("open")))
+    rest = materialise(rest.select("source", "q", "together", "open").distinct(), "mix-rest")
+    while not rest.isEmpty():
+        ahead = rest.select("source", "q", F.col("together").alias("size"), (F.col("open") * AHEAD).alias("reach"))
+        stop = cut_bin(ahead, coarse, "reach").select(F.col("source").alias("_s"), F.col("bin").alias("stop"))
+        rest = materialise(rest.join(stop, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-ahead")
+        near = rest.filter(F.col("stop").isNull() | (coarse <= F.col("stop")))
+        near = near.select("source", "q", "together", "open").repartition("source").sortWithinPartitions("source", "q")
+        runs = materialise(map_arrow(near, _go_on, "source string, left bigint, limit bigint, cut double"), "mix-runs")
+        runs = runs.groupBy("source").agg(F.min("left").alias("left"), F.collect_list(F.when(F.col("cut") >= 0, F.struct("limit", "cut"))).alias("new"))
+        table = _attach(table.withColumn("id", F.lit(0)), _every(table, runs), few).drop("id")
+        table = table.withColumn("runs", F.concat("runs", F.coalesce("new", F.array().cast("array<struct<limit:bigint,cut:double>>")))).withColumn("open", F.coalesce("left", "open")).drop("left", "new")
+        table = materialise(table, "mix-follow")
+        later = rest.filter(F.col("stop").isNotNull() & (coarse > F.col("stop"))).drop("stop", "open").join(table.select(F.col("source").alias("_s"), "open"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        rest = materialise(later.filter(F.col("together") <= F.col("open")).select("source", "q", "together", "open"), "mix-rest")
+    return table
+
+
 def _every(goal: DataFrame, some: DataFrame) -> DataFrame:
     """some, with a row of nulls for each source that it lacks."""
     names = [c for c in some.columns if c != "source"]
@@ -133,30 +201,34 @@ def _extra() -> Column:
     return (F.col("q") <= F.col("cut")) | (F.col("q") < F.col("under")) | F.array_contains("fills", F.col("q"))
 
 
-def _copies(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+def _copies(rows: DataFrame, table: DataFrame, few: bool, again: DataFrame | None = None) -> DataFrame:
     """rows (id, source, size, ...) with source_size, target and copies."""
-    out = _attach(rows, table, few).withColumn("q", _rank(F.col("id"), F.col("f")))
-    more = F.when((F.col("size") > 0) & (F.col("want") > 0) & _extra(), 1).otherwise(0)
-    return out.withColumn("copies", F.col("whole") + more).drop("whole", "f", "want", "cut", "under", "open", "fills", "q")
+    out = _attach(_together(rows, again), table, few).withColumn("q", _rank(F.col("id"), F.col("f")))
+    late = F.exists("runs", lambda r: (F.col("together") <= r["limit"]) & (F.col("q") <= r["cut"]))
+    more = F.when((F.col("size") > 0) & (F.col("want") > 0) & (_extra() | late), 1).otherwise(0)
+    return out.withColumn("copies", F.col("whole") + more).drop("whole", "f", "want", "cut", "under", "open", "fills", "runs", "q", "together")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken): one row per input row."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fill_all: bool = True) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken): one row per input row. Without fill_all, FILLS documents fill the gap, as in SQL."""
     sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
     sized = materialise(sized, "mix-sizes")
-    out = _copies(sized, *plan(sized))
+    again = _repeats(sized) if fill_all else None
+    out = _copies(sized, *plan(sized, fill_all, again), again)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
     sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
-    table, few = plan(materialise(sized, "mix-sizes"))
+    sized = materialise(sized, "mix-sizes")
+    again = _repeats(sized)
+    table, few = plan(sized, again=again)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
-    return _copies(rows, table, few).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return _copies(rows, table, few, again).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-#: DuckDB SQL of mix() with the columns of its query.
+#: DuckDB SQL of mix() without fill_all, with the columns of its query.
 SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
