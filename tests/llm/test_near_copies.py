@@ -75,3 +75,19 @@ def test_stage_drops_similar_texts_that_simhash_keeps(spark):
     assert any((bits[10 * i + 1] ^ bits[10 * i + 2]).bit_count() > 3 for i in range(20))
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()}
     assert kept == {i for i, _ in rows if i % 10 != 2}
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    near = a + " more"
+    rows = [(7, a, "en"), (7, b, "en"), (7, near, "en"), (7, a, "de"), (3, b, "en"), (9, near, "en"), (8, "x y", "en"), (8, "x y", "en"), (None, a, "en")]
+    got = []
+    for part in (1, 4):
+        d = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows[:: 1 if part == 1 else -1]], DOCS).repartition(part)
+        got.append(sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()), key=repr))
+    assert got[0] == got[1]
+    assert [r for r in got[0] if r[0] in (3, 8, 9, None)] == [(3, b, "en"), (8, "x y", "en"), (None, a, "en")]
+    assert len([r for r in got[0] if r[0] == 7]) == 1 and [r for r in got[0] if r[0] == 7][0][1] in (a, near)
+    rows = [(7, a, "en"), (7, b, "en")]
+    d = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], DOCS)
+    assert corpus_pipeline.drop_near_duplicates(spark, d, "").count() == 2
