@@ -7,11 +7,11 @@ a greatest possible score, and candidates whose greatest is below the k-th best
 are brought together, pruned again, and only then are exact vectors read, best bound first, until the k-th exact score
 is certain: no bound that is left exceeds it (an equal one may still win by its smaller id, and is read).
 
-Of equal vectors only the k + 1 of smallest id can ever place (one may be the query itself), so others leave before the
-scan: a vector that a third of all rows share costs no more than that. Nothing else is dropped.
+Of equal vectors only the k rows of smallest id that aren't the query's own can ever place; k rows of an id and 2 k in
+all hold those, so others leave before the scan: a vector that a third of all rows share costs no more than that. Nothing else is dropped.
 
 Vectors that are null, empty, or hold null or non-finite components, and rows with a null id, take no part. Lengths that
-differ never meet. Rows of the query's id are its own. Repeated rows tie by id; a pair of equal ids is listed twice.
+differ never meet. Rows of the query's id are its own. Rows are told apart by a number: each pair of a query's and a candidate's row is listed once.
 Scores outside 64 bits are ranked exactly and
 clamped when returned. Empty tables, and tables of one row, give empty ones.
 """
@@ -50,8 +50,8 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounds(k: int):
-    """A cell of the grid, queries (kind 0) before candidates (kind 1): surviving (query_id, vec_id, least, most)."""
-    names = ["query_id", "vec_id", "least", "most"]
+    """A cell of the grid, queries (kind 0) before candidates (kind 1): surviving pairs of rows with their bounds."""
+    names = ["query_id", "query_row", "vec_id", "vec_row", "least", "most"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -59,7 +59,7 @@ def _bounds(k: int):
 
         def settle() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(pending)
-            kind, ids, dim = np.asarray(table["kind"]), np.asarray(table["id"]), table["dim"][0].as_py()
+            kind, ids, row, dim = np.asarray(table["kind"]), np.asarray(table["id"]), np.asarray(table["row"]), table["dim"][0].as_py()
             nq = int((kind == 0).sum())
             if not nq or nq == len(kind):
                 return
@@ -79,7 +79,7 @@ def _bounds(k: int):
                 i, j = np.nonzero((most >= kth[:, None]) & ~own)
                 for s in range(0, len(i), 100_000):
                     ii, jj = i[s : s + 100_000], j[s : s + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + ii]), pa.array(vec[jj]), pa.array(least[ii, jj]), pa.array(most[ii, jj])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + ii]), pa.array(row[a + ii]), pa.array(vec[jj]), pa.array(row[nq + jj]), pa.array(least[ii, jj]), pa.array(most[ii, jj])], names)
 
         for batch in batches:
             cell = np.asarray(batch.column("cell"))
@@ -106,18 +106,18 @@ def _exact(k: int):
         return [(query_id, r + 1, v, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, v) in enumerate(best)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, best, certain, query = None, [], False, None
+        here, best, certain = None, [], False
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             data = (batch.column(c).to_pylist() for c in ("query_id", "vec_id", "most", "query", "exact"))
             for qid, vid, most, qv, xv in zip(*data):
                 if qid != here:
                     out += ranked(here, best)
-                    here, best, certain, query = qid, [], False, np.frombuffer(qv, np.float64)
+                    here, best, certain = qid, [], False
                 if certain or len(best) == k and most < -best[-1][0]:
                     certain = True
                     continue
-                x = np.frombuffer(xv, np.float64)
+                query, x = np.frombuffer(qv, np.float64), np.frombuffer(xv, np.float64)
                 if np.abs(query).sum() * np.abs(x).max() < 2**53:
                     score = int(query @ x)
                 else:
@@ -134,25 +134,28 @@ def _exact(k: int):
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by every."""
     rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vector_col].alias("embedding")).filter("id is not null")
-    loaded = materialise(map_arrow(rows, _load, "id bigint, class binary, dim int, width double, code binary, exact binary"), "va-file")
+    loaded = map_arrow(rows, _load, "id bigint, class binary, dim int, width double, code binary, exact binary")
+    loaded = materialise(loaded.withColumn("row", F.monotonically_increasing_id()), "va-file")
     queries = loaded.filter(F.col("id") % every == 0)
-    nth = F.row_number().over(Window.partitionBy("class").orderBy("id"))
-    able = materialise(loaded.select("class", "id", "dim", "width", "code").withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth", "class"), "va-candidates")
+    nth = F.row_number().over(Window.partitionBy("class").orderBy("id", "row"))
+    of_id = F.row_number().over(Window.partitionBy("class", "id").orderBy("row"))
+    able = loaded.select("class", "id", "row", "dim", "width", "code").withColumn("nth", of_id).filter(F.col("nth") <= k)
+    able = materialise(able.withColumn("nth", nth).filter(F.col("nth") <= 2 * k).drop("nth", "class"), "va-candidates")
     n, m = able.count(), queries.count()
     cb, qb = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
     # Each candidate block meets each query block in one cell; a cell holds one length of vectors.
     cell = lambda c, q: (F.col("dim").cast("bigint") * cb + c) * qb + q
     mine = lambda b: F.pmod(F.xxhash64("id"), F.lit(b))
-    left = able.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).select(cell(mine(cb), F.col("q")).alias("cell"), F.lit(1).alias("kind"), "id", "dim", "width", F.col("code").alias("data"))
-    right = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))).select(cell(F.col("c"), mine(qb)).alias("cell"), F.lit(0).alias("kind"), "id", "dim", F.lit(0.0).alias("width"), F.col("exact").alias("data"))
+    left = able.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).select(cell(mine(cb), F.col("q")).alias("cell"), F.lit(1).alias("kind"), "id", "row", "dim", "width", F.col("code").alias("data"))
+    right = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))).select(cell(F.col("c"), mine(qb)).alias("cell"), F.lit(0).alias("kind"), "id", "row", "dim", F.lit(0.0).alias("width"), F.col("exact").alias("data"))
     cells = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "kind")
-    bounds = materialise(map_arrow(cells, _bounds(k), "query_id bigint, vec_id bigint, least double, most double"), "va-bounds")
+    bounds = materialise(map_arrow(cells, _bounds(k), "query_id bigint, query_row bigint, vec_id bigint, vec_row bigint, least double, most double"), "va-bounds")
     # The k-th best least score over all blocks prunes once more, before any exact vector is read.
     best = bounds.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least")))).filter(F.col("r") <= k)
     floor = best.groupBy("query_id").agg(F.min("least").alias("floor"), F.max("r").alias("n"))
-    kept = bounds.join(floor, "query_id").filter((F.col("n") < k) | (F.col("most") >= F.col("floor"))).select("query_id", "vec_id", "most")
-    kept = kept.join(loaded.select(F.col("id").alias("vec_id"), "exact"), "vec_id")
-    kept = kept.join(queries.select(F.col("id").alias("query_id"), F.col("exact").alias("query")).dropDuplicates(["query_id"]), "query_id")
+    kept = bounds.join(floor, "query_id").filter((F.col("n") < k) | (F.col("most") >= F.col("floor"))).select("query_id", "query_row", "vec_id", "vec_row", "most")
+    kept = kept.join(loaded.select(F.col("row").alias("vec_row"), "exact"), "vec_row")
+    kept = kept.join(queries.select(F.col("row").alias("query_row"), F.col("exact").alias("query")), "query_row")
     kept = kept.repartition("query_id").sortWithinPartitions("query_id", F.desc("most"), "vec_id")
     return map_arrow(kept.select("query_id", "vec_id", "most", "query", "exact"), _exact(k), "query_id bigint, rank int, vec_id bigint, score bigint")
 
