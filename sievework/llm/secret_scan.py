@@ -2,7 +2,8 @@
 
 Two Markov chains over characters (two of context, add-one smoothed with back-off to one and none) are trained from
 labelled samples: random strings, and ordinary identifiers. A run of token characters is a secret when the log-likelihood
-ratio of the two chains, over the whole run, exceeds a threshold. Runs that overlap a fixed pattern's span add nothing.
+ratio of the two chains, over the whole run, exceeds a threshold. Of a run that overlaps fixed patterns' spans, what lies
+outside them is marked: all of it if the whole run is a secret, else each rest that is long enough and one by itself.
 
 Spans are code points, end exclusive, of a pattern's whole match. Null and empty texts have no span; texts of any length
 are searched whole; repeated rows get repeated results and empty tables empty ones. Other columns pass by unread.
@@ -128,8 +129,14 @@ def find(text: str, model: RandomStrings) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(spans)
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and model.ratio(m.group()) > RATIO * len(m.group()):
-            spans.append((m.start(), 3, m.end()))
+        left, at = [], m.start()
+        for a, _, b in base:
+            if a < m.end() and m.start() < b:
+                left.append((at, a))
+                at = max(at, b)
+        left = [(a, b) for a, b in [*left, (at, m.end())] if a < b]
+        random = bool(left) and model.ratio(m.group()) > RATIO * len(m.group())
+        spans += [(a, 3, b) for a, b in left if random or b - a >= LEAST and model.ratio(text[a:b]) > RATIO * (b - a)]
     return sorted(spans)
 
 
