@@ -1,3 +1,4 @@
+import os
 import re
 import shutil
 import subprocess
@@ -21,12 +22,15 @@ def test_entry(spark):
     assert e.entry(spark).count() == 8
 
 
-def test_imports_without_the_optional_part(tmp_path):
-    """The rest stands without the training-data subpackage and its pipeline."""
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_imports_without_the_optional_part(tmp_path, left):
+    """The rest stands without the training-data subpackage, whether or not its pipeline's file is left, and whatever PYTHONPATH is."""
     shutil.copytree(ROOT / "sievework", tmp_path / "sievework", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", *left):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'missing_columns' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
 def test_nothing_else_imports_it():
