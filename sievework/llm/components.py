@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,11 +22,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v")
         large = materialise(large.filter("u < v").distinct(), "large-star")
+        discard(e)
         # Small star: from the larger end; its smaller neighbours and itself go to the smallest of them.
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")
         small = joined.select(F.col("m").alias("u"), F.col("u").alias("v")).unionAll(least.select(F.col("m").alias("u"), "v"))
         small = materialise(small.filter("u < v").distinct(), "small-star")
+        discard(large)
         # Done when every edge is a star's: no node is both a centre and a leaf, and no leaf has two centres.
         split = small.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v").unionAll(small.select("v").join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi"))
         e = small
