@@ -189,7 +189,8 @@ def test_embedding_dedup_against_brute_force(spark, monkeypatch, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
-def test_embedding_recall_at_the_threshold():
+@pytest.mark.parametrize("hashes", sorted(embedding_dedup.SETTINGS))
+def test_embedding_recall_at_the_threshold(hashes):
     rng = np.random.default_rng(3)
     a = rng.normal(size=(2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -197,8 +198,19 @@ def test_embedding_recall_at_the_threshold():
     b -= (a * b).sum(1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     z = np.zeros(len(a), int)
-    ka, kb = embedding_dedup.bucket_keys(a, z), embedding_dedup.bucket_keys(b, z)
-    assert (ka[:, :, None] == kb[:, None, :]).any((1, 2)).mean() > 0.98
+    ka, kb = embedding_dedup.bucket_keys(a, z, hashes), embedding_dedup.bucket_keys(b, z, hashes)
+    assert (ka[:, :, None] == kb[:, None, :]).any((1, 2)).mean() > 0.97
+
+
+def test_embedding_rotations_follow_the_number_of_vectors():
+    assert [embedding_dedup.rotations(n, 64) for n in (0, 500, 5_000, 6_000, 500_000, 10**9)] == [2, 2, 2, 3, 3, 4]
+
+
+@pytest.mark.parametrize("d", [2, 16, 32, 64, 128, 512])
+def test_hadamard(d):
+    x = np.random.default_rng(d).normal(size=(3, d)).astype(np.float32)
+    h = np.array([[(-1) ** bin(i & j).count("1") for j in range(d)] for i in range(d)])
+    assert np.allclose(embedding_dedup._hadamard(x), x @ h, atol=1e-3)
 
 
 def test_embedding_empty(spark):
