@@ -22,6 +22,7 @@ SLICE_CHARS = 1 << 20
 HOT = 1_000
 #: ASCII white space as the word contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 #: Paths of the tables that materialise() wrote and discard() may delete.
@@ -102,6 +103,16 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterat
         at = to
 
 
+def pieces(text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a long text, cut before ASCII white space; a longer run of anything else stays whole."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + chars)
+        to = cut.start() if cut else len(text)
+        yield at, text[at:to]
+        at = to
+
+
 def annotate(docs: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[pa.Array]], added: str, kinds: list[pa.DataType]) -> DataFrame:
     """All columns of docs as they are, and new ones of each row's text. Names may clash: columns go by position."""
     n, at = len(docs.columns), docs.columns.index(text_col)

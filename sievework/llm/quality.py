@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, slices, training_sample
+from .common import SLICE_CHARS, map_arrow, pieces, slices, training_sample
 
 PER_CLASS, MAX_CHARS, BUCKETS = 800, 20_000, 1 << 18
 _CACHE = 300_000
@@ -74,8 +74,22 @@ class QualityModel:
         a, b = self.logistic
         return 1 / (1 + np.exp(-np.clip(a + b * self.margins(texts), -30, 30)))
 
-    def indicators(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(document, bucket) of all distinct n-grams, by document."""
+    def indicators(self, texts: list[str | None], chars: int = SLICE_CHARS) -> tuple[np.ndarray, np.ndarray]:
+        """(document, bucket) of all distinct n-grams, by document. Texts beyond so many characters are taken in pieces."""
+        long = {k for k, t in enumerate(texts) if t and len(t) > chars}
+        keys = [self._grams(["" if k in long else t for k, t in enumerate(texts)])]
+        for k in sorted(long):
+            before, more = [], False
+            for _, part in pieces(texts[k], chars):
+                # The three tokens before come first, of which the first only tells whether the next repeats it.
+                tokens = [*before, *part.split()]
+                keys.append(k * BUCKETS + self._grams([" ".join(tokens)], int(more)))
+                before, more = tokens[-3:], more or len(tokens) > 3
+        keys = np.unique(np.concatenate(keys)) if long else keys[0]
+        return keys // BUCKETS, keys % BUCKETS
+
+    def _grams(self, texts: list[str | None], skip: int = 0) -> np.ndarray:
+        """document * BUCKETS + bucket of the distinct n-grams without the first skip tokens, in order."""
         if len(self.types) > _CACHE:
             self.types = {}
         tokens = [t.split() if t else [] for t in texts]
@@ -102,12 +116,12 @@ class QualityModel:
         with np.errstate(over="ignore"):
             mul = np.uint64(0x9E3779B97F4A7C15)
             mix = lambda salt, h: ((h + np.uint64(salt)) * mul >> np.uint64(20)) * mul
-            two, three = np.flatnonzero(same), np.flatnonzero(same[1:] & same[:-1]) + 1
+            one, two, three = np.arange(skip, len(doc)), np.flatnonzero(same), np.flatnonzero(same[1:] & same[:-1]) + 1
+            two, three = two[two > skip], three[three > skip + 1]
             w1, s1 = mix(1, word), mix(2, shape)
-            grams = [(doc, w1), (doc, s1), (doc[two], mix(3, w1[two - 1]) + w1[two]), (doc[two], mix(4, s1[two - 1]) + s1[two]), (doc[three], mix(5, mix(6, s1[three - 2]) + s1[three - 1]) + s1[three])]
+            grams = [(doc[one], w1[one]), (doc[one], s1[one]), (doc[two], mix(3, w1[two - 1]) + w1[two]), (doc[two], mix(4, s1[two - 1]) + s1[two]), (doc[three], mix(5, mix(6, s1[three - 2]) + s1[three - 1]) + s1[three])]
             keys = np.concatenate([d.astype(np.int64) * BUCKETS + (h * mul >> np.uint64(64 - 18)).astype(np.int64) for d, h in grams])
-        keys = np.unique(keys)
-        return keys // BUCKETS, keys % BUCKETS
+        return np.unique(keys)
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, c: float = 1.0, rounds: int = 20) -> np.ndarray:

@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,19 +82,23 @@ class RandomStrings:
 
 _COMMON = (
     "get set add remove delete create update find load save read write open close start stop run init parse format build make check test is has to from with by for of and or not "
-    "user name file path list map index count size value key type data item node tree table row column field record page text line word token string number date time year month day "
+    "user name file path list map index count size value key type data item node tree row column field record page text line word token string number date time year month day "
     "hour minute second error message result request response client server session cookie header body content length offset limit order sort filter group query search match replace "
     "config option setting default version release license copyright public private static final class object function method module package import export return model view controller "
     "service manager factory handler listener event state action reducer store context provider component element button input output image video audio document window screen width "
     "height color font style border margin padding left right top bottom center first last next previous parent child root branch leaf source target origin destination address city "
-    "country language english german french spanish account balance payment invoice product price quantity customer supplier nation region part lineitem discount shipping returned "
-    "software foundation apache general warranty condition permission provided distributed including without limitation und der die das nicht ver ung lich keit heit schaft sch ein zu ge be ich tz ent auf aus gen ter les des une que pour dans elle eau oux aux ment eur los las del por para con cion ado idad information international development environment application "
-    "administration responsibility communication understanding approximately nevertheless the in on at ing tion ent er est ble ness ment able ous ive and that this there here over under"
+    "country language english german french spanish italian account balance payment invoice product price quantity customer supplier discount shipping returned abstract interface "
+    "software foundation general warranty condition permission provided distributed including without limitation information international development environment application "
+    "administration responsibility communication understanding approximately nevertheless the in on at this that there here over under through between because before after again against "
+    "und der die das nicht eine werden wissenschaft gesellschaft verantwortung entwicklung verbindung bundesrepublik krankenversicherung geschwindigkeit freundlichkeit zusammenarbeit "
+    "les des une que pour dans avec nouvelle gouvernement developpement anticonstitutionnellement immediatement maintenant beaucoup travailleur bibliotheque "
+    "los las del por para con desarrollo investigacion responsabilidad universidad gobierno trabajador inmediatamente conocimiento"
 ).split()
 
 
 def builtin_samples(n: int = 4000) -> list[tuple[str, int]]:
-    """Labelled samples, the same on every machine: digests recoded to the alphabets of keys, and joined common words."""
+    """Labelled samples, the same on every machine: digests recoded to the alphabets of keys (random); common words joined as
+    names, paths and the like, rules of punctuation, and universally unique identifiers, which are no secrets (ordinary)."""
     out: list[tuple[str, int]] = []
     kinds = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
     for i in range(n):
@@ -101,7 +107,7 @@ def builtin_samples(n: int = 4000) -> list[tuple[str, int]]:
         out.append(("".join(alphabet[b % len(alphabet)] for b in d[: 20 + d[63] % 40]), 1))
         d = hashlib.sha512(f"ordinary {i}".encode()).digest()
         words = [_COMMON[(d[2 * k] * 256 + d[2 * k + 1]) % len(_COMMON)] for k in range(2 + d[60] % 5)]
-        style = d[61] % 8
+        style = d[61] % 9
         if style == 0:
             word = "_".join(words)
         elif style == 1:
@@ -116,8 +122,10 @@ def builtin_samples(n: int = 4000) -> list[tuple[str, int]]:
             word = "-".join(words) + f"-{d[62]}/{2000 + d[59] % 30}"
         elif style == 6:
             word = "=" * (8 + d[59] % 24) if d[58] % 2 else "-" * (8 + d[59] % 24)
-        else:
+        elif style == 7:
             word = "".join(words)
+        else:
+            word = str(uuid.UUID(bytes=d[:16], version=1 + d[62] % 5))
         out.append((word, 0))
     return out
 
@@ -127,13 +135,19 @@ def find(text: str, model: RandomStrings) -> list[tuple[int, int, int]]:
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(spans)
+    # What the patterns cover, as intervals in order that don't overlap.
+    begin, end = [], []
+    for a, _, b in sorted(spans):
+        if end and a <= end[-1]:
+            end[-1] = max(end[-1], b)
+        else:
+            begin.append(a)
+            end.append(b)
     for m in RUN.finditer(text):
         left, at = [], m.start()
-        for a, _, b in base:
-            if a < m.end() and m.start() < b:
-                left.append((at, a))
-                at = max(at, b)
+        for k in range(bisect_left(end, m.start() + 1), bisect_left(begin, m.end())):
+            left.append((at, begin[k]))
+            at = end[k]
         left = [(a, b) for a, b in [*left, (at, m.end())] if a < b]
         random = bool(left) and model.ratio(m.group()) > RATIO * len(m.group())
         spans += [(a, 3, b) for a, b in left if random or b - a >= LEAST and model.ratio(text[a:b]) > RATIO * (b - a)]

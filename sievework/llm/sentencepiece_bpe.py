@@ -6,8 +6,8 @@ a cut, so chunks encode independently of each other, and equal chunks encode equ
 through an agenda of adjacent pairs, best score first and leftmost on ties: a heap for long chunks, whose stale
 entries are passed over, and rows of priorities taken in lock step for the many short ones. What remains and is no piece falls back to its UTF-8 bytes.
 
-New chunks of an Arrow batch are also given to the sentencepiece library, and the two results compared; the library's
-is kept should they differ, and counted. Vocabularies with normalisation rules, user-defined or unused pieces, or
+New chunks of an Arrow batch are also given to the sentencepiece library, and the two results compared; should they
+differ, the task fails. Vocabularies with normalisation rules, user-defined or unused pieces, or
 pieces with an inner space mark are refused when loaded rather than encoded wrongly.
 
 Nulls encode as the empty text: no ids. Empty tables give empty tables; repeated rows give repeated results; columns
@@ -124,15 +124,26 @@ class PieceEncoder:
         self.kind[32] = 4
         self.fence = next(c for c in map(chr, range(1, 32)) if not any(c in p for p in self.rank))
         self.digits = list(map(str, range(n))).__getitem__
-        self.mismatches = 0
-        self.forget()
-
-    def forget(self) -> None:
-        """Start an empty cache: by chunk (marks as spaces) its number, by number its ids and those in decimal."""
+        # The cache: by chunk (marks as spaces) its number, by number its ids, those in decimal, and how often it was met.
         self.number: dict[str, int] = {}
         self.text_of: list[bytes] = []
+        self.met = np.zeros(0, np.int64)
         self.ids, self.end, self.used = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
 
+    def forget(self) -> None:
+        """Keep of the cache what was met repeatedly, and of that the more frequent half of its size at most."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > CACHE // 2:
+            keep = np.sort(keep[np.argpartition(-self.met[keep], CACHE // 2)[: CACHE // 2]])
+        size = self.end[keep + 1] - self.end[keep]
+        end = size.cumsum()
+        ids = self.ids[np.repeat(self.end[keep] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        names, some = list(self.number), keep.tolist()
+        self.number = {names[k]: i for i, k in enumerate(some)}
+        self.text_of = [self.text_of[k] for k in some]
+        self.met = self.met[keep] // 2
+        self.ids, self.end, self.used = np.concatenate([ids, np.zeros(1 << 16, np.int32)]), np.concatenate([[0], end]), len(ids)
+
     def agenda(self, chunk: str) -> list[int]:
         """Ids of one chunk with its marks, by a heap of adjacent pairs. For chunks of any length and character."""
         rank, get, n = self.rank, self.rank.get, len(chunk)
@@ -220,8 +231,7 @@ class PieceEncoder:
         mine = self.encode_chunks(new)
         for i, theirs in enumerate(self.library.encode([self.fence + c for c in new], num_threads=1)):
             if theirs[2:] != mine[i]:
-                self.mismatches += 1
-                mine[i] = theirs[2:]
+                raise ValueError(f"chunk {new[i]!r} encodes as {mine[i]}, by the library as {theirs[2:]}")
         self.text_of += [(",".join(map(self.digits, ids)) + ",").encode() for ids in mine]
         self.number.update(zip(new, range(len(self.number), len(self.text_of))))
         flat = np.fromiter(chain.from_iterable(mine), np.int32)
@@ -259,6 +269,8 @@ class PieceEncoder:
             missing = [chunks[i] for i in new]
             self.learn(list(dict.fromkeys(missing)))
             which[new] = list(map(self.number.__getitem__, missing))
+            self.met = np.concatenate([self.met, np.zeros(len(self.number) - len(self.met), np.int64)])
+        self.met += np.bincount(which, minlength=len(self.met))
         first, size = self.end[which], self.end[which + 1] - self.end[which]
         total = size.cumsum()
         ids = self.ids[np.repeat(first - total + size, size) + np.arange(total[-1] if len(total) else 0)].tolist()

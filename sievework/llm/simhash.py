@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, materialise, slices
+from .common import SLICE_CHARS, attach, map_arrow, materialise, pieces, slices
 from .components import Forest, connected_components
 
 SEED = 42
@@ -30,20 +30,35 @@ WORDS = 3
 LIMIT = 3
 #: Coarse segments (the grid's dimensions) and fine ones (the order inside a cell).
 SEGMENTS, FINE = 4, 8
-#: Copies of a label that a hot fingerprint's rows are dealt over.
-SALTS = 8
 #: Fingerprints for each part that a cell's homes are dealt out in (a cell has some thousandth of all at most).
 HOMES_A_TASK = 200_000_000
 
 
-def fingerprints(texts: list[str | None]) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each text's word shingles, repeats included."""
+def _fingerprint_of_pieces(text: str, chars: int) -> int:
+    """The fingerprint of a long text, a piece at a time: bits set are summed, and a piece begins with the words before."""
+    from xxhash import xxh64_intdigest
+
+    ones, n, before = np.zeros(64, np.int64), 0, []
+    for _, part in pieces(text, chars):
+        words = [*before, *part.encode("utf-8", "surrogatepass").lower().split()]
+        before = words[1 - WORDS :]
+        h = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + WORDS]), SEED) for i in range(len(words) - WORDS + 1)), np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    if not n and before:  # fewer words than a shingle has
+        return xxh64_intdigest(b" ".join(before), SEED)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(texts: list[str | None], chars: int = SLICE_CHARS) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each text's word shingles, repeats included. Texts beyond so many characters are taken in pieces."""
     from xxhash import xxh64_intdigest
 
     hashes: list[int] = []
     count = np.zeros(len(texts), np.int64)
+    long = {k: _fingerprint_of_pieces(t, chars) for k, t in enumerate(texts) if t and len(t) > chars}
     for k, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text and k not in long else []
         n = len(words)
         if not n:
             continue
@@ -66,6 +81,8 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
         ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
         major = 2 * ones.astype(np.int64) > count[some][:, None]
         out[some] = np.packbits(major.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+    for k, fp in long.items():
+        out[k] = fp
     return out
 
 
@@ -234,12 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when their fingerprints differ in at most limit bits; component_id is the smallest id reachable.
     """
     marked = materialise(fingerprint_documents(docs, id_col, text_col), "fingerprints")
-    points = marked.groupBy("fp").agg(F.min("id").alias("rep"))
+    points = materialise(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("_rows")), "fingerprint-points")
     # A class without any id cannot name a component; it keeps null, and links nothing that has one.
     edges = near_fingerprints(points.filter("rep is not null"), limit)
     joined = connected_components(edges)
-    labels = points.join(joined, points["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # A fingerprint may be that of a third of all documents: its rows are dealt out over SALTS copies of the label.
-    salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"])
+    labels = points.join(joined, points["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "_rows")
+    # A fingerprint may be that of a third of all documents: such ones are broadcast to their rows.
+    out = attach(marked, materialise(labels, "fingerprint-names"), "fp", marked.count())
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

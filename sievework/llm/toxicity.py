@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, slices, training_sample
+from .common import SLICE_CHARS, map_arrow, pieces, slices, training_sample
 
 #: Bounds of the training sample (documents a class, code points a document) and of the model's features.
 PER_CLASS, MAX_CHARS, MAX_FEATURES = 600, 20_000, 4096
-#: Steps of a block of the scan over tokens.
-BLOCK = 128
+#: Steps of a block of the scan over tokens, and tokens of a long text that are held at once.
+BLOCK, LONG_STEP = 128, 1 << 17
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _CACHE = 120_000
 
@@ -54,36 +54,49 @@ def _products(m: np.ndarray) -> np.ndarray:
     return p / p.sum((1, 2))[:, None, None]
 
 
-def forward_backward(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _steps(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(BLOCK, blocks, 2, 2): each token's matrix, in blocks; steps after the last are the identity."""
+    n = len(emission)
+    blocks = -(-n // BLOCK)
+    m = np.empty((blocks * BLOCK, 2, 2))
+    m[n:] = np.eye(2)
+    # A chain's start forgets what was before: both rows are the start potentials.
+    m[:n] = np.where(first[:, None, None], start[None, None, :], trans[None])
+    m[:n, :, 1] *= np.exp(np.clip(emission, -30, 30))[:, None]
+    return np.ascontiguousarray(m.reshape(blocks, BLOCK, 2, 2).swapaxes(0, 1))
+
+
+def chain_product(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The scaled product of all tokens' matrices: what a part of a chain does to what comes into it."""
+    out = np.eye(2)
+    for p in _products(_steps(emission, first, trans, start)):
+        out = out @ p
+        out /= out.sum()
+    return out
+
+
+def forward_backward(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray, before: tuple[float, float] = (0.5, 0.5), after: tuple[float, float] = (0.5, 0.5)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of many chains laid end to end, as one exact blocked scan of 2 x 2 matrices.
 
     emission: log potential of state 1 over state 0 of each token; first: whether a chain starts there; trans, start:
-    potentials. Returns each token's marginal of state 1, and the scaled forward and backward vectors.
+    potentials; before, after: the vectors that come in at both ends, for a part of a chain. Returns each token's marginal
+    of state 1, and the scaled forward and backward vectors.
     """
     n = len(emission)
     if not n:
         return np.zeros(0), np.zeros((0, 2)), np.zeros((0, 2))
-    blocks = -(-n // BLOCK)
-    e = np.zeros(blocks * BLOCK)
-    e[:n] = np.exp(np.clip(emission, -30, 30))
-    e[n:] = 1
-    f = np.zeros(blocks * BLOCK, bool)
-    f[:n] = first
-    f[n:] = True
-    # A chain's start forgets what was before: both rows are the start potentials.
-    m = np.where(f[:, None, None], start[None, None, :], trans[None])
-    m = m * np.stack([np.ones_like(e), e], axis=1)[:, None, :]
-    m = np.ascontiguousarray(m.reshape(blocks, BLOCK, 2, 2).swapaxes(0, 1))
+    m = _steps(emission, first, trans, start)
+    blocks = m.shape[1]
     whole = _products(m)
     into, back = np.empty((blocks, 2)), np.empty((blocks, 2))
-    a0, a1 = 0.5, 0.5
+    a0, a1 = before
     rows = whole.reshape(blocks, 4).tolist()
     for k, (p00, p01, p10, p11) in enumerate(rows):
         into[k] = a0, a1
         a0, a1 = a0 * p00 + a1 * p10, a0 * p01 + a1 * p11
         s = a0 + a1
         a0, a1 = a0 / s, a1 / s
-    b0, b1 = 0.5, 0.5
+    b0, b1 = after
     for k in range(blocks - 1, -1, -1):
         back[k] = b0, b1
         p00, p01, p10, p11 = rows[k]
@@ -183,15 +196,71 @@ class ToxicModel:
         first[(count.cumsum() - count)[count > 0]] = True
         return forward_backward(self.emissions(number, first), first, self.trans, self.start)[0], count
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[list[int]]]]:
-        """Scores, and offending spans [start, end) in code points."""
-        texts = [t or "" for t in texts]
+    def long_emissions(self, text: str, chars: int) -> np.ndarray:
+        """Emissions of one text's tokens, a piece at a time."""
+        out: list[np.ndarray] = []
+        last = None
+        for _, part in pieces(text, chars):
+            tokens = part.split()
+            if not tokens:
+                continue
+            types = _Types(self.known)
+            types.add(set(tokens))
+            rows = types.rows[np.fromiter(map(types.number.__getitem__, tokens), np.int64, len(tokens))]
+            e = self.bias + self.weights[0][rows].sum(1)
+            e[1:] += self.weights[1][rows[:-1, 0]]
+            e[:-1] += self.weights[2][rows[1:, 0]]
+            if last is not None:
+                e[0] += self.weights[1][last]
+                out[-1][-1] += self.weights[2][rows[0, 0]]
+            last = rows[-1, 0]
+            out.append(e)
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def long_score(self, text: str, chars: int = SLICE_CHARS, step: int = LONG_STEP) -> tuple[np.ndarray, list[list[int]]]:
+        """(summary row, spans) of one long text: exact marginals part by part, from what each part passes on both ways."""
+        e = self.long_emissions(text, chars)
+        first = np.zeros(len(e), bool)
+        first[:1] = True
+        cuts = range(0, len(e), step)
+        part = [chain_product(e[a : a + step], first[a : a + step], self.trans, self.start) for a in cuts]
+        before, after = [np.full(2, 0.5)], [np.full(2, 0.5)]
+        for m in part[:-1]:
+            v = before[-1] @ m
+            before.append(v / v.sum())
+        for m in part[:0:-1]:
+            v = m @ after[-1]
+            after.append(v / v.sum())
+        peak, sum_, hot = 0.0, 0.0, []
+        for a, u, v in zip(cuts, before, reversed(after)):
+            p = forward_backward(e[a : a + step], first[a : a + step], self.trans, self.start, tuple(u), tuple(v))[0]
+            peak, sum_ = max(peak, float(p.max())), sum_ + float(p[p > 0.25].sum())
+            hot += (a + np.flatnonzero(p > 0.5)).tolist()
+        spans: list[list[int]] = []
+        want, i = iter(hot), 0
+        nxt = next(want, None)
+        for at, piece in pieces(text, chars) if hot else ():
+            pos = 0
+            for token in piece.split():
+                pos = piece.index(token, pos)
+                if i == nxt:
+                    spans.append([at + pos, at + pos + len(token)])
+                    nxt = next(want, None)
+                pos, i = pos + len(token), i + 1
+        return np.array([1, peak, math.log1p(sum_), math.log1p(len(e)) / 10]), spans
+
+    def score(self, texts: list[str | None], chars: int = SLICE_CHARS) -> tuple[np.ndarray, list[list[list[int]]]]:
+        """Scores, and offending spans [start, end) in code points. Texts beyond so many characters are taken in parts."""
+        long = {k: self.long_score(t, chars) for k, t in enumerate(texts) if t and len(t) > chars}
+        texts = ["" if k in long else t or "" for k, t in enumerate(texts)]
         p, count = self.marginals(texts)
         at = count.cumsum() - count
         x = summary(p, count)
-        peak = x[:, 1]
-        score = 1 / (1 + np.exp(-np.clip(x @ np.array(self.logistic), -30, 30)))
+        peak = x[:, 1].copy()
         spans: list[list[list[int]]] = [[] for _ in texts]
+        for k, (row, found) in long.items():
+            x[k], spans[k] = row, found
+        score = 1 / (1 + np.exp(-np.clip(x @ np.array(self.logistic), -30, 30)))
         for k in np.flatnonzero(peak > 0.5).tolist():
             hot = np.flatnonzero(p[at[k] : at[k] + count[k]] > 0.5).tolist()
             # Tokens in order, each searched from where the last one ended: offsets without another pattern.
@@ -246,6 +315,24 @@ def offending_features(sample: list[tuple[str, int]], least: int = 3) -> tuple[s
     return picked, [*sorted(picked), *rest][:MAX_FEATURES]
 
 
+def gradient(model: ToxicModel, number: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Of the negative log likelihood of token labels y: by weights, bias and log transitions. model.types has the tokens."""
+    rows, size = model.types.rows[: len(model.types.number)], model.weights.shape[1]
+    inner = np.flatnonzero(~first)
+    e = model.emissions(number, first)
+    p, alpha, beta = forward_backward(e, first, model.trans, model.start)
+    gap = p - y
+    own = np.bincount(number, gap, len(rows))
+    grad = np.stack([np.bincount(rows.ravel(), np.repeat(own, 5), size), np.bincount(rows[number[inner - 1], 0], gap[inner], size), np.bincount(rows[number[inner], 0], gap[inner - 1], size)])
+    grad[:, 0] = 0  # no feature, no weight
+    m = model.trans[None] * np.stack([np.ones(len(inner)), np.exp(np.clip(e[inner], -30, 30))], axis=1)[:, None, :]
+    xi = alpha[inner - 1][:, :, None] * m * beta[inner][:, None, :]
+    xi = (xi / xi.sum((1, 2))[:, None, None]).sum(0)
+    pair = np.zeros((2, 2))
+    np.add.at(pair, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
+    return grad, float(gap.sum()), xi - pair
+
+
 def fit(sample: list[tuple[str, int]], steps: int = 30, rate: float = 0.6, decay: float = 1e-4) -> ToxicModel:
     """The field, and the logistic of document scores, from labelled documents."""
     none = ToxicModel({}, np.zeros((3, 1)), -10.0, np.ones((2, 2)), np.ones(2), (-5.0, 4.0, 0.0, 0.0))
@@ -263,24 +350,13 @@ def fit(sample: list[tuple[str, int]], steps: int = 30, rate: float = 0.6, decay
     bad = np.zeros(size, bool)
     bad[[known[f] for f in picked if f in known]] = True
     y = bad[rows].any(1)[number] & np.repeat(ys > 0, count)
-    inner = np.flatnonzero(~first)
     theta = [model.weights, np.array([model.bias]), np.zeros((2, 2))]
     mean, var = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    pair = np.zeros((2, 2))
-    np.add.at(pair, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
     n = len(texts)
     for step in range(1, steps + 1):
         model.bias, model.trans = float(theta[1][0]), np.exp(theta[2])
-        e = model.emissions(number, first)
-        p, alpha, beta = forward_backward(e, first, model.trans, model.start)
-        gap = p - y
-        own = np.bincount(number, gap, len(rows))
-        grad = np.stack([np.bincount(rows.ravel(), np.repeat(own, 5), size), np.bincount(rows[number[inner - 1], 0], gap[inner], size), np.bincount(rows[number[inner], 0], gap[inner - 1], size)])
-        grad[:, 0] = 0  # no feature, no weight
-        m = model.trans[None] * np.stack([np.ones(len(inner)), np.exp(np.clip(e[inner], -30, 30))], axis=1)[:, None, :]
-        xi = alpha[inner - 1][:, :, None] * m * beta[inner][:, None, :]
-        xi = (xi / xi.sum((1, 2))[:, None, None]).sum(0)
-        for x, g, m1, v1 in zip(theta, [grad / n + decay * theta[0], np.array([gap.sum() / n]), (xi - pair) / n], mean, var):
+        g_weights, g_bias, g_trans = gradient(model, number, first, y)
+        for x, g, m1, v1 in zip(theta, [g_weights / n + decay * theta[0], np.array([g_bias / n]), g_trans / n], mean, var):
             m1 += 0.1 * (g - m1)
             v1 += 0.02 * (g * g - v1)
             x -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.98**step)) + 1e-8) * (0.3 if x is not theta[0] else 1)

@@ -26,13 +26,13 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_arrow, materialise, new_path
+from .common import attach, map_arrow, materialise, new_path
 
 REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
 CHUNK = 1 << 20
-#: Repeated payloads up to which their table (60 bytes a row) is broadcast; beyond, a salted shuffle joins it.
-FEW_REPEATS, SALTS = 50_000, 16
+#: Repeated payloads up to which their table (60 bytes a row) is broadcast; beyond, only hot ones are (see common.attach).
+FEW_REPEATS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 
 
@@ -66,11 +66,26 @@ def _headers(data: bytes) -> tuple[dict[str, str], int] | None:
     return (found, end + 4) if {"warc-type", "warc-record-id", "content-length"} <= found.keys() and found["content-length"].isdigit() else None
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder by the name Spark knows it under, and the folder's path on it.
+
+    file:, s3: (s3a:, s3n:), gs:, hdfs:, viewfs: and abfs[s]: go to Arrow's own; dbfs: is read and written where it is mounted.
+    """
+    scheme, sep, rest = path.partition(":")
+    if sep and scheme in ("s3a", "s3n"):
+        path = "s3:" + rest
+    elif sep and scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    elif sep and scheme not in ("file", "s3", "gs", "hdfs", "viewfs", "abfs", "abfss"):
+        raise ValueError(f"archives can't be kept under {scheme}:")
+    return pafs.FileSystem.from_uri(path)
+
+
 class _Window:
     """Bytes of a file from a position on, read in chunks and dropped behind."""
 
     def __init__(self, file: pa.NativeFile, at: int, size: int):
-        self.file, self.base, self.data, self.size = file, at, b"", size
+        self.file, self.base, self.data, self.size = file, at, bytearray(), size
         file.seek(at)
 
     def more(self) -> bool:
@@ -80,7 +95,8 @@ class _Window:
 
     def drop(self, to: int) -> None:
         if to > self.base:
-            self.data, self.base = self.data[to - self.base :], to
+            del self.data[: to - self.base]
+            self.base = to
 
 
 def _inflate(win: _Window, at: int) -> tuple[bytes, int] | None:
@@ -91,7 +107,7 @@ def _inflate(win: _Window, at: int) -> tuple[bytes, int] | None:
         while not z.eof:
             if pos >= win.base + len(win.data) and not win.more():
                 return None
-            piece = win.data[pos - win.base : pos - win.base + (4096 if not checked else CHUNK)]
+            piece = bytes(win.data[pos - win.base : pos - win.base + (4096 if not checked else CHUNK)])
             out.append(z.decompress(piece))
             size += len(out[-1])
             pos += len(piece)
@@ -152,17 +168,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha1("payload"))
     big = F.octet_length("payload") >= REVISIT_BYTES
     # Payloads met more than once, with their response's id. Only digests are shuffled, combined before.
-    repeats = rows.filter(big).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("response")).filter("n > 1 and response is not null").select("digest", "response")
+    repeats = rows.filter(big).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("response")).filter("n > 1 and response is not null").select("digest", "response", F.col("n").alias("_rows"))
     repeats = materialise(repeats, "warc-repeats")
     if repeats.count() <= FEW_REPEATS:
         joined = rows.join(F.broadcast(repeats), "digest", "left")
     else:
-        copies = repeats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies, ["digest", "salt"], "left")
+        joined = attach(rows, repeats, "digest", rows.count())
     refers = F.when(big & F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")), F.col("response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(path)
+        fs, base = filesystem(path)
         fs.create_dir(base, recursive=True)
         name = f"{base}/{uuid.uuid4().hex}.warc.gz"
         out, size, n = None, 0, 0
@@ -193,7 +208,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, range_byt
     ranges = ranges.repartitionByRange(parts, "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(path)
+        fs, _ = filesystem(path)
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payloads]
 
