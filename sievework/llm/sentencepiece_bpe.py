@@ -29,7 +29,7 @@ from .common import map_arrow
 
 MARK = "▁"
 #: Chunks that a Python worker remembers before it starts anew; slices of text add to it by their size only.
-CACHE = 250_000
+CACHE = 160_000
 #: Code points of chunks merged in lock step; longer ones, and ones with characters outside the vocabulary, use the heap.
 SHORT = 24
 NEVER = np.iinfo(np.int32).max
