@@ -14,13 +14,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import DataTypeConversionError, DataValidationError, EncodingError, RegistryError
 from ..functions import kernels as K
 from ..functions.kernels import col, is_numeric, kind_of, missing, string_columns, value
-from ..plans.metrics import per_column
-from ..plans.quantiles import exact_quantiles
+from ..plans.metrics import distinct_and_mode, per_column
+from ..plans.quantiles import exact_quantiles, ranges_of
 from ..session import ship_package
 from .inspect import _need, plain
 from .rowid import need_columns, need_frame, order_of
@@ -138,26 +138,52 @@ class FillMissing(CleaningOperation):
         names = need_columns(df, self.subset or [c for c in df.columns if not c.startswith("_old_")])
         if self.strategy == "constant":
             return {c: self.value for c in names} if self.value is not None else {}
-        if self.strategy == "mode":
-            return modes(df, names)
-        for c in names:
+        return fused_fills(df, [FillMissing(self.strategy, None, names)])[0][0]
+
+    def check(self, df: DataFrame, names: Sequence[str]) -> None:
+        for c in names if self.strategy in ("mean", "median") else ():
             if not is_numeric(kind_of(df, c)):
                 raise DataValidationError(f"{self.strategy} needs numbers; column {c!r} has {kind_of(df, c).simpleString()}")
-        # A column without missing values is left as it is, its type too.
-        row = df.agg(*[F.when(F.count_if(missing(df, c)) > 0, F.avg(value(df, c)).cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).first()
-        if self.strategy == "median":
-            need = [c for c, v in zip(names, row) if v is not None]
-            return {c: q[0] for c, q in exact_quantiles(df, need, (0.5,), lambda c: value(df, c).cast("double")).items() if q}
-        return {c: v for c, v in zip(names, row) if v is not None}
 
     def apply(self, df: DataFrame) -> DataFrame:
         return fill_with(df, self.fills(df))
 
 
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, Any]:
-    """The most frequent present value of each column, the smallest on ties."""
-    row = df.agg(*[F.mode(value(df, c), True).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    return {c: v for c, v in zip(names, row) if v is not None}
+    """The most frequent present value of each column, the smallest on ties; all columns in one shuffle of counts."""
+    found = {r["column"]: r["mode"] for r in distinct_and_mode(df, names).collect()} if names else {}
+    plain_kinds = (T.StringType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    odd = [c for c in found if not isinstance(kind_of(df, c), plain_kinds)]
+    row = df.agg(*[F.mode(value(df, c), True).alias(f"c{i}") for i, c in enumerate(odd)]).first() if odd else ()
+    some = [c for c in found if c not in odd]
+    typed = df.sparkSession.range(1).select(*[F.lit(found[c]).cast(kind_of(df, c)).alias(f"c{i}") for i, c in enumerate(some)]).first() if some else ()
+    out = dict(zip(odd, row)) | dict(zip(some, typed))
+    return {c: out[c] for c in names if out.get(c) is not None}
+
+
+def fused_fills(df: DataFrame, operations: Sequence[FillMissing]) -> tuple[list[dict[str, Any]], dict[str, int], int]:
+    """Fills of several operations on different columns from the same three queries, missing cells by column, and rows."""
+    names = [need_columns(df, op.subset) for op in operations]
+    flat = [c for some in names for c in some]
+    for op, some in zip(operations, names):
+        op.check(df, some)
+    number = lambda c: value(df, c).cast("double")
+    means = [c for op, some in zip(operations, names) if op.strategy == "mean" for c in some]
+    medians = [c for op, some in zip(operations, names) if op.strategy == "median" for c in some]
+    edges, read = ranges_of(df, medians, number)
+    row = df.agg(*[x.alias(f"x{i}") for i, x in enumerate([F.count("*"), *[F.count_if(missing(df, c)) for c in flat], *[F.avg(number(c)) for c in means], *edges])]).first()
+    lost, mean = dict(zip(flat, row[1:])), dict(zip(means, row[1 + len(flat) :]))
+    middle = {c: q[0] for c, q in exact_quantiles(df, [c for c in medians if lost[c]], (0.5,), number, (row[0], read(row[1 + len(flat) + len(means) :]))).items() if q}
+    most = modes(df, [c for op, some in zip(operations, names) if op.strategy == "mode" for c in some if lost[c]])
+    out = []
+    for op, some in zip(operations, names):
+        if op.strategy == "constant":
+            out.append({c: op.value for c in some} if op.value is not None else {})
+        else:
+            known = {"mean": mean, "median": middle, "mode": most}[op.strategy]
+            # A column without missing values is left as it is, its type too.
+            out.append({c: known[c] for c in some if lost[c] and known.get(c) is not None})
+    return out, lost, row[0]
 
 
 def fill_with(df: DataFrame, fills: dict[str, Any]) -> DataFrame:
@@ -178,6 +204,17 @@ def fill_with(df: DataFrame, fills: dict[str, Any]) -> DataFrame:
     return df.select(*columns)
 
 
+def one_of_each(df: DataFrame, keys: Sequence[Column], keep: str | bool, order_by: Sequence[str] | None) -> DataFrame:
+    """The first or last row of each key, or (keep False) those of keys that don't repeat: an aggregate combined before the shuffle."""
+    place = F.struct(*order_of(df, order_by), *([F.monotonically_increasing_id()] if order_by else []))
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), *[k.alias(f"k{i}") for i, k in enumerate(keys)], place.alias("place"))
+    groups = rows.groupBy(*[f"k{i}" for i in range(len(keys))])
+    row = (F.max_by if keep == "last" else F.min_by)("row", "place").alias("row")
+    if keep is False:
+        return groups.agg(F.count("*").alias("n"), row).filter("n = 1").select("row.*")
+    return groups.agg(row).select("row.*")
+
+
 class DropDuplicates(CleaningOperation):
     """keep first or last in the order of order_by (else reading order), or False for none of a group."""
 
@@ -193,11 +230,7 @@ class DropDuplicates(CleaningOperation):
         if not self.subset and self.keep is not False:
             # Whole rows: any of equal rows is as good as another, so an aggregate does, combined before the shuffle.
             return K.canonical(df).dropDuplicates()
-        keys = [value(df, c) for c in names]
-        if self.keep is False:
-            return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n = 1").drop("_n")
-        order = [c.desc() if self.keep == "last" else c.asc() for c in order_of(df, self.order_by)]
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+        return one_of_each(df, [value(df, c) for c in names], self.keep, self.order_by)
 
 
 class DropColumns(CleaningOperation):
@@ -405,20 +438,20 @@ class NearDuplicateRemoval(CleaningOperation):
             _need("rapidfuzz", "similarity matching")
             if self.threshold > 100:
                 return df
-        order = [c.desc() if self.keep == "last" else c.asc() for c in order_of(df, self.order_by)]
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy(K.match_key(df, names)).orderBy(*order))).filter("_n = 1").drop("_n")
+        return one_of_each(df, [K.match_key(df, names)], self.keep, self.order_by)
 
 
 def auto_fill(df: DataFrame, strategy: str | None = None, fill: Any = None) -> DataFrame:
-    """A value wins over a strategy; with neither, numbers take their median and the rest their mode, from one aggregate."""
+    """A value wins over a strategy; with neither, numbers take their median and the rest their mode."""
     if fill is not None:
         return FillMissing("constant", fill).apply(df)
     if strategy is not None:
         return FillMissing(strategy).apply(df)
-    names = df.columns
-    f = lambda c: F.percentile(value(df, c), F.lit(0.5)) if is_numeric(kind_of(df, c)) else F.mode(value(df, c), True)
-    row = df.agg(*[F.when(F.count_if(missing(df, c)) > 0, f(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    return fill_with(df, {c: v for c, v in zip(names, row) if v is not None})
+    numbers = [c for c in df.columns if is_numeric(kind_of(df, c))]
+    parts = [FillMissing("median", None, numbers)] if numbers else []
+    parts += [FillMissing("mode", None, [c for c in df.columns if c not in numbers])] if len(numbers) < len(df.columns) else []
+    fills = fused_fills(df, parts)[0]
+    return fill_with(df, {c: v for some in fills for c, v in some.items()})
 
 
 _KEY_NAME = re.compile(r"(^|_)(id|code|phone|zip|postal)($|_)", re.IGNORECASE)

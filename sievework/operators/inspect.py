@@ -12,11 +12,12 @@ from collections import Counter
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import DependencyError
 from ..functions import kernels as K
 from ..functions.kernels import col, finite, kind_of, missing, numeric_columns, string_columns, value
+from ..plans import ranks
 from ..plans.metrics import distinct_and_mode, per_column
 from ..plans.quantiles import exact_quantiles
 from .rowid import need_columns, need_frame, order_of, with_row_id
@@ -144,10 +145,17 @@ def duplicate_summary(df: DataFrame, subset: Sequence[str] | None = None, keep:
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, keep: str | bool = "first", order_by: Sequence[str] | None = None) -> DataFrame:
     """The rows that the mask marks."""
     keys = [value(df, c) for c in subset or df.columns]
-    if keep is False:
-        return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n > 1").drop("_n")
-    order = [c.desc() if keep == "last" else c.asc() for c in order_of(df, order_by)]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n > 1").drop("_n")
+    # Keys that repeat, from an aggregate combined before the shuffle; their rows meet them in a join, which may split a hot key.
+    place = F.struct(*order_of(df, order_by), *([F.monotonically_increasing_id()] if order_by else []))
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), *[k.alias(f"k{i}") for i, k in enumerate(keys)], place.alias("place"))
+    names = [f"k{i}" for i in range(len(keys))]
+    kept = (F.max if keep == "last" else F.min)("place")
+    twice = rows.groupBy(*names).agg(F.count("*").alias("n"), kept.alias("kept")).filter("n > 1").select(*[F.col(k).alias(f"_{k}") for k in names], "kept")
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    both = rows.join(twice, same)
+    return (both if keep is False else both.filter(~F.col("place").eqNullSafe(F.col("kept")))).select("row.*")
 
 
 class DuplicateInspector:
@@ -290,10 +298,11 @@ class StatisticsInspector:
 
 def describe_table(df: DataFrame) -> DataFrame:
     """(column, count, unique, top, freq, mean, std, min, 25%, 50%, 75%, max): text fields for text, numbers for numbers."""
-    texts = [c for c in df.columns if c not in numeric_columns(df)]
+    numbers = numeric_columns(df)
+    texts = [c for c in df.columns if c not in numbers]
     out = None
-    if numeric_columns(df):
-        s = statistics_table(df)
+    if numbers:
+        s = statistics_table(df, quartiles=exact_quantiles(df, numbers, (0.25, 0.5, 0.75), lambda c: finite(df, c)))
         out = s.select("column", "count", F.lit(None).cast("bigint").alias("unique"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq"), "mean", F.when(F.col("count") > 1, F.col("standard_deviation")).alias("std"), F.col("minimum").alias("min"), F.col("q1").alias("25%"), F.col("q2").alias("50%"), F.col("q3").alias("75%"), F.col("maximum").alias("max"))
     if texts:
         from ..plans.metrics import value_counts
@@ -319,47 +328,21 @@ def _pair_table(df: DataFrame, f, name: str) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-#: Rows up to which Kendall's tau compares all pairs of rows.
-KENDALL_ROWS = 20_000
-
-
 def correlation_table(df: DataFrame, method: str = "pearson") -> DataFrame:
     """(column_a, column_b, correlation) over all ordered pairs of numeric columns, each over its complete rows."""
     if method == "pearson":
         return _pair_table(df, F.corr, "correlation")
-    names = numeric_columns(df)
-    if method == "spearman":
-        out = None
-        for i, a in enumerate(names):
-            for b in names[i:]:
-                both = df.select(value(df, a).cast("double").alias("a"), value(df, b).cast("double").alias("b")).dropna()
-                t = both.select(_average_rank("a").alias("a"), _average_rank("b").alias("b")).agg(F.corr("a", "b").alias("correlation"))
-                for x, y in {(a, b), (b, a)}:
-                    row = t.select(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), "correlation")
-                    out = row if out is None else out.unionAll(row)
-        return out
-    if method == "kendall":
-        n = df.count()
-        if n > KENDALL_ROWS:
-            raise ValueError(f"Kendall's tau compares all pairs of rows: {n} rows are more than {KENDALL_ROWS}")
-        out = None
-        for i, a in enumerate(names):
-            for b in names[i:]:
-                both = df.select(value(df, a).cast("double").alias("a"), value(df, b).cast("double").alias("b")).dropna().withColumn("i", F.monotonically_increasing_id())
-                other = both.toDF("c", "d", "j")
-                s = F.signum(F.col("a") - F.col("c")), F.signum(F.col("b") - F.col("d"))
-                t = both.join(other, F.col("i") < F.col("j")).agg(F.sum(s[0] * s[1]).alias("s"), F.count_if(s[0] != 0).alias("x"), F.count_if(s[1] != 0).alias("y"))
-                t = t.select((F.col("s") / F.nullif(F.sqrt(F.col("x").cast("double") * F.col("y")), F.lit(0.0))).alias("correlation"))
-                for x, y in {(a, b), (b, a)}:
-                    row = t.select(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), "correlation")
-                    out = row if out is None else out.unionAll(row)
-        return out
-    raise ValueError("method must be one of ['kendall', 'pearson', 'spearman']")
-
-
-def _average_rank(c: str) -> Column:
-    """Rank with ties averaged, over one global order (a single task; use pearson at scale)."""
-    return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+    if method not in ("spearman", "kendall"):
+        raise ValueError("method must be one of ['kendall', 'pearson', 'spearman']")
+    names, rows, out = numeric_columns(df), df.count(), None
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            x, y = value(df, a), value(df, b)
+            t = ranks.spearman(df, x, y, rows) if method == "spearman" else df.sparkSession.createDataFrame([(ranks.kendall(df, x, y, rows),)], "correlation double")
+            for p, q in {(a, b), (b, a)}:
+                row = t.select(F.lit(p).alias("column_a"), F.lit(q).alias("column_b"), "correlation")
+                out = row if out is None else out.unionAll(row)
+    return out
 
 
 def covariance_table(df: DataFrame) -> DataFrame:

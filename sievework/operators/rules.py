@@ -183,6 +183,27 @@ class ColumnNamesRule(BaseRule):
 BUILTIN_RULES = (MissingValuesRule, DuplicateRowsRule, DuplicateColumnsRule, InvalidDtypesRule, OutliersRule, ConstantColumnsRule, HighCardinalityRule, WhitespaceRule, StringCaseRule, ColumnNamesRule)
 
 
+def check_rule(rule: object) -> BaseRule:
+    """A rule whose definition holds: a name and a category in words, a text for its description, a whole number for its priority."""
+    if not isinstance(rule, BaseRule):
+        raise TypeError("a BaseRule is needed")
+    for what in ("name", "category"):
+        x = getattr(rule, what)
+        if not isinstance(x, str):
+            raise TypeError(f"a rule's {what} is a text, not {type(x).__name__}")
+        if not x.strip():
+            raise ValueError(f"a rule's {what} can't be blank")
+    if not isinstance(rule.description, str):
+        raise TypeError("a rule's description is a text")
+    if not isinstance(rule.priority, int):
+        raise TypeError("a rule's priority is a whole number")
+    if not isinstance(rule.enabled, bool):
+        raise TypeError("a rule is enabled or not: a boolean")
+    if not callable(rule.evaluate):
+        raise TypeError("a rule's evaluate is called with a frame")
+    return rule
+
+
 class RuleRegistry:
     def __init__(self, rules: Iterable[BaseRule] = ()):
         self._rules: dict[str, BaseRule] = {}
@@ -190,8 +211,7 @@ class RuleRegistry:
             self.register(r)
 
     def register(self, rule: BaseRule) -> None:
-        if not isinstance(rule, BaseRule):
-            raise TypeError("a BaseRule is needed")
+        check_rule(rule)
         if rule.name in self._rules:
             raise RegistryError(f"rule {rule.name!r} is registered already")
         self._rules[rule.name] = rule
@@ -205,7 +225,8 @@ class RuleRegistry:
         return self._rules[name]
 
     def rules(self) -> list[BaseRule]:
-        return list(self._rules.values())
+        """By priority, the smallest first; those of one priority in the order of their registration."""
+        return sorted(self._rules.values(), key=lambda r: r.priority)
 
     def __contains__(self, name: str) -> bool:
         return name in self._rules

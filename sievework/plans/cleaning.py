@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 import json
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..errors import DeserializationError, SerializationError
 from ..functions.kernels import missing
-from ..operators.clean import CleaningOperation, DropColumns, DropDuplicates, DropMissingRows, EncodingRepairOperation, FillMissing, MissingTokenOperation, OperationRegistry, OperationResult, TextNormalizationOperation, TypeCoercionOperation, builtin_registry
+from ..operators.clean import CleaningOperation, DropColumns, DropDuplicates, DropMissingRows, EncodingRepairOperation, FillMissing, MissingTokenOperation, OperationRegistry, OperationResult, TextNormalizationOperation, TypeCoercionOperation, builtin_registry, fill_with, fused_fills
 from ..operators.detector import HealthReport, Recommendation
 from ..operators.inspect import duplicate_summary, plain
 from ..operators.rowid import need_frame
@@ -56,24 +56,53 @@ class CleaningEngine:
 
     def run(self, df: DataFrame) -> DataFrame:
         need_frame(df)
-        for op in self.operations:
-            df = op.apply(df)
+        for group in self._groups():
+            df = fill_with(df, {c: v for some in fused_fills(df, group)[0] for c, v in some.items()}) if len(group) > 1 else group[0].apply(df)
         return df
 
+    def _groups(self) -> list[list[CleaningOperation]]:
+        """Operations in order, with runs of fills of different columns together: those take their statistics from the same frame."""
+        out: list[list[CleaningOperation]] = []
+        for op in self.operations:
+            fills = type(op) is FillMissing and op.subset
+            seen = {c for x in out[-1] for c in x.subset} if out and type(out[-1][0]) is FillMissing and out[-1][0].subset else None
+            if fills and seen is not None and not seen & set(op.subset):
+                out[-1].append(op)
+            else:
+                out.append([op])
+        return out
+
     def run_with_result(self, df: DataFrame, dry_run: bool = False, chunk_size: int | None = None, cumulative: bool = False) -> CleaningResult:
         """A dry run measures each operation against the original frame, or, where cumulative, after those before it."""
         need_frame(df)
         if chunk_size is not None and chunk_size <= 0:
             raise ValueError("chunk_size must be positive")
         began, results, log, now = time.perf_counter(), [], [], df
-        for k, op in enumerate(self.operations, 1):
-            out, result = op.apply_with_result(now, dry_run)
+        for k, (op, out, result) in enumerate(self._applied(df, dry_run, cumulative), 1):
+            now = out
             results.append(result)
             log.append({"order": k, "operation": op.name, "timestamp": datetime.now(timezone.utc).isoformat(), "parameters": plain(op.describe()), "before_shape": list(result.before_shape), "after_shape": list(result.after_shape), "rows_affected": result.rows_affected, "columns_affected": result.columns_affected, "details": plain(result.details), "chunk_size": chunk_size})
-            now = op.apply(now) if dry_run and cumulative else out
         return CleaningResult(df if dry_run else now, tuple(results), tuple(log), dry_run, time.perf_counter() - began)
 
 
+    def _applied(self, df: DataFrame, dry_run: bool, cumulative: bool) -> Iterator[tuple[CleaningOperation, DataFrame, OperationResult]]:
+        """Each operation with its frame and its result."""
+        now = df
+        for group in self._groups():
+            if len(group) == 1:
+                out, result = group[0].apply_with_result(now, dry_run)
+                yield group[0], out, result
+                now = group[0].apply(now) if dry_run and cumulative else out
+                continue
+            fills, lost, n = fused_fills(now, group)
+            shape = n, len(now.columns)
+            for op, some in zip(group, fills):
+                cells = {c: lost[c] if c in some else 0 for c in op.subset}
+                out = now if dry_run else fill_with(now, some)
+                yield op, out, OperationResult(op.name, sum(cells.values()), op.columns_affected(cells), shape, shape, dry_run, {"cells": cells})
+                now = fill_with(now, some) if dry_run and cumulative else out
+
+
 @dataclass
 class PlanStep:
     operation: CleaningOperation

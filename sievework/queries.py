@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import api
+from .core import Cleaner
 from .functions import kernels as K
 from .operators import clean as C, features as E, inspect as I, rules as R
 from .operators.detector import IssueDetector
 from .plans import cleaning as P
 from .plans.metrics import distinct_and_mode, per_column
+from .plans.quantiles import exact_quantiles
+from .plans.report import FileExporter, JSONRenderer, ReportEngine, StringExporter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,7 +127,7 @@ add("memory_largest", "dirty_parts", lambda df: I.memory_table(df).select("colum
 # Statistics
 
 add("stats_moments", "lineitem", lambda df: rounded(I.statistics_table(df, LINE, only=["count", "minimum", "maximum", "mean", "variance", "standard_deviation", "zero_count", "negative_count"]), 3), each(LINE, "SELECT '@' AS \"column\", count(@) AS \"count\", round(min(@), 3) AS minimum, round(max(@), 3) AS maximum, round(avg(@), 3) AS mean, round(var_samp(@), 3) AS variance, round(stddev_samp(@), 3) AS standard_deviation, count(*) FILTER (WHERE @ = 0) AS zero_count, count(*) FILTER (WHERE @ < 0) AS negative_count FROM lineitem"))
-add("stats_quantiles", "lineitem", lambda df: rounded(I.statistics_table(df, LINE, only=["q1", "q2", "q3", "iqr", "median"]), 4), each(LINE, "SELECT '@' AS \"column\", round(quantile_cont(@, 0.25), 4) AS q1, round(quantile_cont(@, 0.5), 4) AS q2, round(quantile_cont(@, 0.75), 4) AS q3, round(quantile_cont(@, 0.75) - quantile_cont(@, 0.25), 4) AS iqr, round(median(@), 4) AS median FROM lineitem"))
+add("stats_quantiles", "lineitem", lambda df: rounded(I.statistics_table(df, LINE, quartiles=exact_quantiles(df, LINE, (0.25, 0.5, 0.75), lambda c: K.finite(df, c)), only=["q1", "q2", "q3", "iqr", "median"]), 4), each(LINE, "SELECT '@' AS \"column\", round(quantile_cont(@, 0.25), 4) AS q1, round(quantile_cont(@, 0.5), 4) AS q2, round(quantile_cont(@, 0.75), 4) AS q3, round(quantile_cont(@, 0.75) - quantile_cont(@, 0.25), 4) AS iqr, round(median(@), 4) AS median FROM lineitem"))
 add("stats_shape", "events", lambda df: rounded(I.statistics_table(df, ["value"], only=["skewness", "kurtosis"])), "SELECT 'value' AS \"column\", round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM events")
 add("stats_mode", "part", lambda df: distinct_and_mode(df, ["p_size", "p_type", "p_name"]).select("column", "distinct", "mode"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) FROM part) AS \"distinct\", (SELECT CAST({c} AS STRING) FROM part GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode" for c in ("p_size", "p_type", "p_name")))
 _FENCE = "(SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {t})"
@@ -135,7 +138,9 @@ def _outlier_sql(t: str, columns: list[str]) -> str:
 
 
 add("stats_outliers", "dirty_orders", lambda df: I.outlier_table(df, ["o_totalprice", "o_custkey"]).select("column", "outliers"), _outlier_sql("dirty_orders", ["o_totalprice", "o_custkey"]))
-add("describe", "part", lambda df: rounded(I.describe_table(df.select("p_size", "p_retailprice", "p_type")).select("column", "count", "unique", "top", "freq", "mean", "std"), 3), " UNION ALL ".join([f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS STRING) AS top, CAST(NULL AS BIGINT) AS freq, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std FROM part" for c in ("p_size", "p_retailprice")] + ["SELECT 'p_type', (SELECT count(p_type) FROM part), (SELECT count(DISTINCT p_type) FROM part), t, n, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM (SELECT p_type AS t, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"]))
+_QUART = {"25%": "quantile_cont(@, 0.25)", "50%": "quantile_cont(@, 0.5)", "75%": "quantile_cont(@, 0.75)"}
+_NUMBERS = {"mean": "avg(@)", "std": "stddev_samp(@)", "min": "min(@)"} | _QUART | {"max": "max(@)"}
+add("describe", "part", lambda df: rounded(I.describe_table(df.select("p_size", "p_retailprice", "p_type")), 3), each(["p_size", "p_retailprice"], "SELECT '@' AS \"column\", count(@) AS \"count\", CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, " + ", ".join(f'round(CAST({x} AS DOUBLE), 3) AS "{k}"' for k, x in _NUMBERS.items()) + " FROM part") + " UNION ALL SELECT 'p_type', count(p_type), count(DISTINCT p_type), (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), (SELECT max(n) FROM (SELECT count(*) AS n FROM part GROUP BY p_type)), " + ", ".join(["NULL"] * 7) + " FROM part")
 _cols = lambda df: df.select(*LINE)
 _pair = lambda f, n: " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({f}({a}, {b}), 3) + 0.0::DOUBLE AS {n} FROM lineitem" for a in LINE for b in LINE)
 add("corr_pearson", "lineitem", lambda df: rounded(I.correlation_table(_cols(df)), 3), _pair("corr", "correlation"))
@@ -276,9 +281,46 @@ def _health(df: DataFrame) -> DataFrame:
 
 
 _MISSING_CELLS = " + ".join(f"count(*) - count({c})" for c in ORDER_COLUMNS)
+_TEXTS, _NUMS = ["o_orderpriority", "order_day", "empty_col"], ["o_orderkey", "o_custkey", "o_totalprice", "constant_col"]
+_DATES = K.DATE_LIKE
+_FOLD = lambda c: f"lower(trim({c}))"
+_FACTS = (
+    "n AS (SELECT count(*) AS n FROM dirty_orders), m AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, {c in _NUMS} AS num, count(*) - count({c}) AS m, count({c}) AS there, count(DISTINCT {c}) AS u, "
+        + (f"count(DISTINCT {_FOLD(c)}) AS f, coalesce(avg(CASE WHEN {c} IS NOT NULL THEN CAST(regexp_matches({c}, '{_DATES}') AS INT) END), 0) AS d" if c in _TEXTS else f"count(DISTINCT {c}) AS f, 0 AS d")
+        + " FROM dirty_orders"
+        for c in ORDER_COLUMNS
+    )
+    + "), q AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, a, b, count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS k FROM dirty_orders, {_FENCE.format(c=c, t='dirty_orders')} GROUP BY a, b" for c in _NUMS)
+    + "), o AS (SELECT q.*, u > 5 AND there > 10 AND b > a AND k * 100.0::DOUBLE / there > 3 AS odd, k * 100.0::DOUBLE / there AS share FROM q JOIN m ON q.c = m.c)"
+    + ", x AS (SELECT count(*) AS d FROM (SELECT DISTINCT * FROM dirty_orders)), y AS (SELECT count(*) AS d FROM (SELECT DISTINCT "
+    + ", ".join(f"coalesce(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '')" if c in _TEXTS else c for c in ORDER_COLUMNS) + " FROM dirty_orders))"
+)
+_SCORES = (
+    "s AS (SELECT 100 * (1 - (SELECT sum(m) FROM m) / (n * 8)) AS completeness, 100 * (1 - (n - d) / n) AS uniqueness, 100 - 100 * (SELECT count(*) FROM m WHERE there = 0 OR u = 1) / 8 AS integrity, "
+    "greatest(0, 100 - (SELECT sum(CASE WHEN d > 0.7 THEN 15 ELSE 0 END + CASE WHEN f < u THEN 10 ELSE 0 END) FROM m)) AS consistency, greatest(0, 100 - 8 * (SELECT count(*) FROM o WHERE odd)) AS validity FROM n, x)"
+)
+_NAMES = ("completeness", "uniqueness", "integrity", "consistency", "validity")
 add("health_scores", "dirty_orders", _health)
+ORACLES["health_scores"] = _inline(f"WITH {_FACTS}, {_SCORES} " + " UNION ALL ".join(f"SELECT '{k}' AS score, round(CAST({k} AS DOUBLE), 3) AS value FROM s" for k in _NAMES) + " UNION ALL SELECT 'health', CAST(greatest(0, least(100, round_even(0.35 * completeness + 0.25 * uniqueness + 0.15 * integrity + 0.15 * consistency + 0.10 * validity, 0))) AS DOUBLE) FROM s")
 add("health_completeness", "dirty_orders", lambda df: _health(df).filter("score IN ('completeness', 'uniqueness')"), f"SELECT 'completeness' AS score, round(100 * (1 - ({_MISSING_CELLS}) / (count(*) * 8)), 3) AS value FROM dirty_orders UNION ALL SELECT 'uniqueness', round(100 * (1 - (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders))) / count(*)), 3) FROM dirty_orders")
+_ISSUE = lambda title, severity, category, rows, share, where, source: f"SELECT '{title}' AS title, {severity} AS severity, '{category}' AS category, {'c' if 'c' in source.split('#')[1:] else chr(39) * 2} AS columns, CAST({rows} AS BIGINT) AS rows, round(CAST({share} AS DOUBLE), 4) AS percent FROM {source.split('#')[0]} WHERE {where}"
 add("health_issues", "dirty_orders", lambda df: IssueDetector().inspect(df).table(df.sparkSession))
+ORACLES["health_issues"] = _inline(
+    f"WITH {_FACTS} "
+    + " UNION ALL ".join([
+        _ISSUE("Duplicate rows", "CASE WHEN (n - d) * 100.0 / n > 10 THEN 'CRITICAL' ELSE 'WARNING' END", "duplicates", "n - d", "(n - d) * 100.0::DOUBLE / n", "n > d", "n, x"),
+        _ISSUE("Column is empty", "'CRITICAL'", "missing_values", "m", "100", "there = 0", "m#c"),
+        _ISSUE("Missing values", "CASE WHEN m * 100.0 / n >= 15 THEN 'WARNING' ELSE 'INFO' END", "missing_values", "m", "m * 100.0::DOUBLE / n", "m > 0 AND there > 0", "m, n#c"),
+        _ISSUE("Constant column", "'WARNING'", "integrity", "there", "0", "u = 1", "m#c"),
+        _ISSUE("Inconsistent case or white space", "'WARNING'", "consistency", "u - f", "0", "f < u", "m#c"),
+        _ISSUE("Dates stored as text", "'WARNING'", "data_types", "0", "0", "d > 0.7", "m#c"),
+        _ISSUE("Outliers", "CASE WHEN share < 10 THEN 'INFO' ELSE 'WARNING' END", "outliers", "k", "share", "odd", "o#c"),
+        _ISSUE("Anomalies", "CASE WHEN share >= 10 THEN 'WARNING' ELSE 'INFO' END", "anomalies", "k", "share", "k > 0", "o#c"),
+        _ISSUE("Near-duplicate rows", "CASE WHEN (x.d - y.d) / n > 0.05 THEN 'WARNING' ELSE 'INFO' END", "near_duplicates", "x.d - y.d", "(x.d - y.d) * 100.0::DOUBLE / n", "x.d > y.d", "n, x, y"),
+    ])
+)
 add("half_health", "dirty_orders", lambda df: df.sparkSession.createDataFrame([P.half_health(df)], "score int, missing_cells bigint, duplicate_rows bigint").select("missing_cells", "duplicate_rows"), f"SELECT {_MISSING_CELLS} AS missing_cells, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)) AS duplicate_rows FROM dirty_orders")
 
 
@@ -301,3 +343,161 @@ _TN = f"count(*) FILTER (WHERE ({_TOK}) IS NULL)"
 add("engine_audit", "dirty_parts", _audit, f"SELECT 'missing_token_normalization' AS operation, {_TN} AS rows_affected FROM dirty_parts UNION ALL SELECT 'encoding_repair', count(*) FILTER (WHERE contains(enc_text, '{BAD}') OR contains(enc_text, '{CTRL}')) FROM dirty_parts UNION ALL SELECT 'drop_missing_rows', {_TN} FROM dirty_parts")
 add("pipeline_engine", "part", lambda df: P.PipelineEngine([P.CallableStep(lambda d: d.filter("p_size > 10"), "large"), P.TransformStep(E.PolynomialFeature("p_size").fit(df))]).run(df).data.select("p_partkey", F.col("`p_size^2`").alias("p2")), "SELECT p_partkey, CAST(p_size AS BIGINT) * p_size AS p2 FROM part WHERE p_size > 10")
 add("profile_columns", "part", lambda df: df.sparkSession.createDataFrame([(r.column, r.unique, r.missing) for r in api.profile(df).dtypes.reports], "column string, unique bigint, missing bigint"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"unique\", count(*) - count({c}) AS missing FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")))
+
+
+# What users call first: reports, the facade, registries
+
+
+def rows_of(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+_ADVICE = {"p_partkey": "p_partkey", "p_size": "p_size"}
+_BITS = "CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'int8' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'int16' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int32' ELSE 'int64' END"
+add(
+    "memory_advice", "part", lambda df: rows_of(df, [(r.column, r.recommended, r.bytes) for r in I.MemoryInspector().inspect(df.select("p_partkey", "p_size", "p_name", "p_brand")).reports], "column string, recommended string, bytes bigint"),
+    " UNION ALL ".join([f"SELECT '{c}' AS \"column\", {_BITS.format(c=c)} AS recommended, CAST(count(*) * {w} AS BIGINT) AS bytes FROM part" for c, w in (("p_partkey", 8), ("p_size", 4))] + [f"SELECT '{c}', CASE WHEN count(DISTINCT {c}) / count(*) < 0.5 THEN 'category' ELSE 'string' END, CAST(sum(coalesce(strlen({c}), 0) + 16) AS BIGINT) FROM part" for c in ("p_name", "p_brand")]),
+)
+add(
+    "statistics_report", "lineitem", lambda df: rounded(rows_of(df, [tuple(r[k] for k in ("column", "count", "minimum", "q1", "median", "q3", "maximum", "unique", "mode", "outlier_count", "constant")) for r in I.StatisticsInspector().inspect(df.select(*LINE)).reports], "column string, count bigint, minimum double, q1 double, median double, q3 double, maximum double, unique bigint, mode double, outlier_count bigint, constant boolean")),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", round(min({c}), 4) AS minimum, round(any_value(a), 4) AS q1, round(median({c}), 4) AS median, round(any_value(b), 4) AS q3, round(max({c}), 4) AS maximum, count(DISTINCT {c}) AS \"unique\", round((SELECT {c} FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), 4) AS mode, count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outlier_count, count(DISTINCT {c}) = 1 AS constant FROM lineitem, {_FENCE.format(c=c, t='lineitem')}" for c in LINE),
+)
+_SUPPLIER = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+_seen = lambda rule, columns, rows="0": f"SELECT '{rule}' AS rule, c = '' AS passed, c AS affected_columns, CAST(n AS BIGINT) AS affected_rows FROM (SELECT {columns} AS c, {rows} AS n FROM supplier)"
+_NUMERIC = ["s_suppkey", "s_nationkey", "s_acctbal"]
+add(
+    "validate_rules", "supplier", lambda df: rows_of(df, [(r.rule, r.passed, ",".join(r.affected_columns), r.affected_rows) for r in api.validate(df.select(*_SUPPLIER))], "rule string, passed boolean, affected_columns string, affected_rows bigint"),
+    " UNION ALL ".join([
+        _seen("missing_values", _list({c: f"count({c}) < count(*)" for c in _SUPPLIER}), "count(*) FILTER (WHERE " + " OR ".join(f"{c} IS NULL" for c in _SUPPLIER) + ")"),
+        f"SELECT 'duplicate_rows', max(n) = 1, CASE WHEN max(n) > 1 THEN '{','.join(_SUPPLIER)}' ELSE '' END, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) FROM (SELECT count(*) AS n FROM supplier GROUP BY {', '.join(_SUPPLIER)})",
+        "SELECT 'duplicate_columns', c = '', c, CAST(0 AS BIGINT) FROM (SELECT " + _list({b: " OR ".join(f"count(*) FILTER (WHERE CAST({a} AS DOUBLE) IS DISTINCT FROM CAST({b} AS DOUBLE)) = 0" for a in _NUMERIC[:i]) for i, b in enumerate(_NUMERIC) if i}) + " AS c FROM supplier)",
+        "SELECT 'invalid_dtypes', c = '', c, CAST(0 AS BIGINT) FROM (SELECT " + _list({"s_name": "count(s_name) > 0 AND count(try_cast(s_name AS DOUBLE)) = count(s_name)"}) + " AS c FROM supplier)",
+        f"SELECT 'outliers', sum(outliers) = 0, coalesce(string_agg(CASE WHEN outliers > 0 THEN \"column\" END, ','), ''), CAST(sum(outliers) AS BIGINT) FROM ({_outlier_sql('supplier', _NUMERIC)})",
+        _seen("constant_columns", _list({c: f"count(DISTINCT {c}) = 1" for c in _SUPPLIER})),
+        _seen("high_cardinality", _list({"s_name": "count(DISTINCT s_name) / count(s_name) > 0.9 AND count(s_name) >= 2"})),
+        _seen("whitespace", _list({"s_name": f"count(*) FILTER (WHERE {_WS('s_name')}) > 0"}), f"count(*) FILTER (WHERE {_WS('s_name')})"),
+        _seen("string_case", _list({"s_name": "count(DISTINCT lower(s_name)) < count(DISTINCT s_name)"})),
+        "SELECT 'column_names', true, '', CAST(0 AS BIGINT)",
+    ]),
+)
+
+
+class _InDebt(R.BaseRule):
+    name, category, description, priority = "in_debt", "validity", "no balance below zero", 5
+
+    def evaluate(self, df: DataFrame) -> R.RuleResult:
+        n = df.filter("s_acctbal < 0").count()
+        return self.verdict(["s_acctbal"] if n else (), n)
+
+
+def _custom(df: DataFrame) -> DataFrame:
+    """A rule of one's own beside a built-in one; the smaller priority goes first."""
+    engine = R.RuleEngine(R.RuleRegistry([R.WhitespaceRule(), _InDebt()]))
+    return rows_of(df, [(i, r.rule, r.passed, r.affected_rows) for i, r in enumerate(engine.run(df.select(*_SUPPLIER)), 1)], "place int, rule string, passed boolean, affected_rows bigint")
+
+
+add("custom_rule", "supplier", _custom, f"SELECT 1 AS place, 'in_debt' AS rule, count(*) = 0 AS passed, count(*) AS affected_rows FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 2, 'whitespace', count(*) FILTER (WHERE {_WS('s_name')}) = 0, count(*) FILTER (WHERE {_WS('s_name')}) FROM supplier")
+
+
+def _valid(df: DataFrame) -> DataFrame:
+    """Whether definitions of rules are taken: a blank name, a priority in words, a switch that is none, and a good one."""
+    out = []
+    for what, change in (("good", {}), ("blank name", {"name": " "}), ("name", {"name": 3}), ("description", {"description": None}), ("priority", {"priority": "high"}), ("enabled", {"enabled": 1}), ("callback", {"evaluate": None})):
+        try:
+            R.check_rule(type("Rule", (R.BaseRule,), change)())
+            out.append((what, "taken"))
+        except (TypeError, ValueError) as e:
+            out.append((what, type(e).__name__))
+    return rows_of(df, out, "definition string, verdict string")
+
+
+add("rule_definitions", "region", _valid, "SELECT * FROM (VALUES ('good', 'taken'), ('blank name', 'ValueError'), ('name', 'TypeError'), ('description', 'TypeError'), ('priority', 'TypeError'), ('enabled', 'TypeError'), ('callback', 'TypeError')) t(definition, verdict)")
+
+
+def _switched(df: DataFrame) -> DataFrame:
+    """The plan of a report with its first step, the duplicates, switched off and one on again, then applied."""
+    plan = P.CleaningPlan.from_report(IssueDetector().inspect(df))
+    plan.disable(1)
+    plan.disable(2)
+    plan.enable(2)
+    shown = sum(line.split(". ")[1].startswith("[x]") for line in plan.show().splitlines())
+    out = plan.apply(df).data
+    return out.agg(F.count("*").alias("rows"), F.count_if(F.col("o_custkey").isNull() | F.col("o_orderpriority").isNull()).alias("missing")).withColumn("steps", F.lit(len(plan.steps) - shown).cast("bigint"))
+
+
+add("plan_switches", "dirty_orders", _switched, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(1 AS BIGINT) AS steps FROM dirty_orders")
+
+
+def _facade(df: DataFrame) -> DataFrame:
+    """Inspect, plan and clean by the facade, whose result tells what changed."""
+    c = Cleaner()
+    r = c.clean(df, c.plan(c.inspect(df)))
+    return rows_of(df, [(o.operation_name, o.rows_affected) for o in r.operations] + [("left", r.data.count())], "operation string, rows_affected bigint")
+
+
+_LOST = {c: f"(SELECT count(*) - count({c}) FROM d)" for c in ("o_custkey", "o_totalprice", "o_orderpriority")}
+add("cleaner_facade", "dirty_orders", _facade)
+ORACLES["cleaner_facade"] = _inline("WITH d AS (SELECT DISTINCT * FROM dirty_orders) SELECT 'drop_duplicates' AS operation, (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM d) AS rows_affected UNION ALL " + " UNION ALL ".join(f"SELECT 'fill_missing', {x}" for x in _LOST.values()) + " UNION ALL SELECT 'drop_columns', 0 UNION ALL SELECT 'drop_columns', 0 UNION ALL SELECT 'left', (SELECT count(*) FROM d)")
+
+
+def _chunks(df: DataFrame) -> DataFrame:
+    r = P.CleaningEngine([C.FillMissing("constant", -1, ["o_custkey"]), C.FillMissing("mean", None, ["o_totalprice"])]).run_with_result(df, chunk_size=1000)
+    return rows_of(df, [(a["order"], a["chunk_size"], a["rows_affected"], r.summary()["rows_affected"]) for a in r.audit_log], "place int, chunk_size int, rows_affected bigint, of bigint")
+
+
+add("chunked_apply", "dirty_orders", _chunks, "SELECT CAST(1 AS INT) AS place, CAST(1000 AS INT) AS chunk_size, count(*) - count(o_custkey) AS rows_affected, 2 * count(*) - count(o_custkey) - count(o_totalprice) AS \"of\" FROM dirty_orders UNION ALL SELECT 2, 1000, count(*) - count(o_totalprice), 2 * count(*) - count(o_custkey) - count(o_totalprice) FROM dirty_orders")
+add("operation_names", "region", lambda df: rows_of(df, [(n,) for n in C.builtin_registry().names()], "name string"), "SELECT * FROM (VALUES ('drop_missing_rows'), ('drop_missing_columns'), ('fill_missing'), ('drop_duplicates'), ('drop_columns'), ('type_coercion'), ('missing_token_normalization'), ('text_normalization'), ('encoding_repair'), ('near_duplicate_removal')) t(name)")
+
+
+def _profile_report(df: DataFrame) -> DataFrame:
+    """A profile as a report, rendered to JSON, exported as text, and read again."""
+    import json
+
+    from .operators.profile import profile_to_report
+
+    report = json.loads(StringExporter().export(profile_to_report(api.profile(df.drop("empty_col"))), JSONRenderer()))
+    overview = report["sections"][0]["content"]
+    rows = [(k, float(overview[k])) for k in ("rows", "columns")] + [(k, round(overview["health"][k], 3)) for k in ("completeness", "uniqueness")] + [("sections", float(len(report["sections"])))]
+    return rows_of(df, rows, "measure string, value double")
+
+
+_SOME = [c for c in ORDER_COLUMNS if c != "empty_col"]
+add("profile_report", "dirty_orders", _profile_report)
+ORACLES["profile_report"] = _inline(f"WITH d AS (SELECT count(*) AS d FROM (SELECT DISTINCT * FROM dirty_orders)), s AS (SELECT count(*) AS n, {' + '.join(f'count(*) - count({c})' for c in _SOME)} AS m FROM dirty_orders) SELECT 'rows' AS measure, CAST(n AS DOUBLE) AS value FROM s UNION ALL SELECT 'columns', 7 UNION ALL SELECT 'sections', 6 UNION ALL SELECT 'completeness', round(100 - round(m * 100.0::DOUBLE / (n * 7), 4), 3) FROM s UNION ALL SELECT 'uniqueness', round(100 - round((n - d) * 100.0::DOUBLE / n, 4), 3) FROM s, d")
+
+
+def _exported(df: DataFrame) -> DataFrame:
+    """The missing values of a frame as a report in a file, and what the file holds."""
+    import json
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = FileExporter(Path(folder) / "report.json").export(ReportEngine().run({"missing_values": api.missing(df).to_dict()}))
+        sections = json.loads(path.read_text(encoding="utf-8"))["sections"]
+    return rows_of(df, [(s["title"], r["column"], r["missing"], r["severity"]) for s in sections for r in s["content"]["reports"]], "section string, column string, missing bigint, severity string")
+
+
+add("report_file", "dirty_orders", _exported, each(ORDER_COLUMNS, "SELECT 'Missing Values' AS section, '@' AS \"column\", count(*) - count(@) AS missing, CASE WHEN (count(*) - count(@)) * 100.0 / count(*) < 5 THEN 'LOW' WHEN (count(*) - count(@)) * 100.0 / count(*) < 15 THEN 'MEDIUM' WHEN (count(*) - count(@)) * 100.0 / count(*) < 35 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM dirty_orders"))
+
+
+def _formats(df: DataFrame) -> DataFrame:
+    """A table written and read again by each extension that Spark has a format for."""
+    import shutil
+    import tempfile
+
+    from .sources import files
+
+    out, folder = None, tempfile.mkdtemp(prefix="sievework-formats-")
+    try:
+        for kind in ("csv", "json", "parquet", "orc"):
+            files.write(df, f"{folder}/t.{kind}")
+            one = files.read(df.sparkSession, f"{folder}/t.{kind}").select(F.lit(kind).alias("format"), F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name")
+            rows = one.collect()
+            out = rows if out is None else out + rows
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return rows_of(df, [tuple(r) for r in out], "format string, r_regionkey bigint, r_name string")
+
+
+add("read_formats", "region", _formats, "SELECT f AS format, CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region, (VALUES ('csv'), ('json'), ('parquet'), ('orc')) t(f)")

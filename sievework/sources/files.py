@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import DependencyError
@@ -30,10 +31,19 @@ def read(spark: SparkSession, path: str, schema: StructType | str | None = None,
         if schema is None:
             reader = reader.option("inferSchema", "true")
     if end == ".json":
-        reader = reader.option("multiLine", options.get("multiLine", "true"))
+        reader = reader.option("multiLine", options.get("multiLine", "false" if _by_lines(spark, path) else "true"))
     return reader.format(BUILTIN[end]).load(path)
 
 
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a .json file's first line is an object by itself, as write() has it: else it is one document over several lines."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    try:
+        return first is not None and isinstance(json.loads(first[0]), dict)
+    except ValueError:
+        return False
+
+
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
     """An Arrow file through the driver: for files that fit it."""
     import pyarrow.feather as feather
