@@ -3,7 +3,7 @@
 Two Markov chains over characters (two of context, add-one smoothed with back-off to one and none) are trained from
 labelled samples: random strings, and ordinary identifiers. A run of token characters is a secret when the log-likelihood
 ratio of the two chains, over the whole run, exceeds a threshold. Of a run that overlaps fixed patterns' spans, what lies
-outside them is marked: all of it if the whole run is a secret, else each rest that is long enough and one by itself.
+outside them is marked (UUIDs are passed over): all of it if the whole run is a secret, else each rest that is long enough and one by itself.
 
 Spans are code points, end exclusive, of a pattern's whole match. Null and empty texts have no span; texts of any length
 are searched whole; repeated rows get repeated results and empty tables empty ones. Other columns pass by unread.
@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -34,6 +33,8 @@ LEAST, RATIO = 20, 1.0
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: What a text must match to be looked at more closely, in the syntax of Arrow's own engine.
 _SIEVE = rf"(?:{_WORDS})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{{12}}|[A-Z0-9]{{18}}|[0-9a-f]{{16}}|[A-Za-z0-9+/_=-]{{{LEAST}}}"
+#: Universally unique identifiers are random but name things openly: a run of that shape is not judged.
+UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 
@@ -98,7 +99,7 @@ _COMMON = (
 
 def builtin_samples(n: int = 4000) -> list[tuple[str, int]]:
     """Labelled samples, the same on every machine: digests recoded to the alphabets of keys (random); common words joined as
-    names, paths and the like, rules of punctuation, and universally unique identifiers, which are no secrets (ordinary)."""
+    names, paths and the like, and rules of punctuation (ordinary)."""
     out: list[tuple[str, int]] = []
     kinds = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
     for i in range(n):
@@ -107,7 +108,7 @@ def builtin_samples(n: int = 4000) -> list[tuple[str, int]]:
         out.append(("".join(alphabet[b % len(alphabet)] for b in d[: 20 + d[63] % 40]), 1))
         d = hashlib.sha512(f"ordinary {i}".encode()).digest()
         words = [_COMMON[(d[2 * k] * 256 + d[2 * k + 1]) % len(_COMMON)] for k in range(2 + d[60] % 5)]
-        style = d[61] % 9
+        style = d[61] % 8
         if style == 0:
             word = "_".join(words)
         elif style == 1:
@@ -122,10 +123,8 @@ def builtin_samples(n: int = 4000) -> list[tuple[str, int]]:
             word = "-".join(words) + f"-{d[62]}/{2000 + d[59] % 30}"
         elif style == 6:
             word = "=" * (8 + d[59] % 24) if d[58] % 2 else "-" * (8 + d[59] % 24)
-        elif style == 7:
-            word = "".join(words)
         else:
-            word = str(uuid.UUID(bytes=d[:16], version=1 + d[62] % 5))
+            word = "".join(words)
         out.append((word, 0))
     return out
 
@@ -144,6 +143,8 @@ def find(text: str, model: RandomStrings) -> list[tuple[int, int, int]]:
             begin.append(a)
             end.append(b)
     for m in RUN.finditer(text):
+        if UUID.fullmatch(m.group()):
+            continue
         left, at = [], m.start()
         for k in range(bisect_left(end, m.start() + 1), bisect_left(begin, m.end())):
             left.append((at, begin[k]))
