@@ -1,13 +1,17 @@
 """Near copies of texts, exactly: pairs whose sets of WORDS-word shingles have a Jaccard similarity of SIMILAR or more.
 
-A set similarity join by prefixes. All shingles are put in one order, and of a text with n of them only the first
+First SimHash through segment popcounts, as in simhash.py: fingerprints of equal or near popcount vectors meet in the grid, those
+within BITS bits are candidates, and those whose shingle sets are similar link. Texts this similar may have fingerprints further
+apart, so a join that misses none finishes what fingerprints leave open.
+
+That is a set similarity join by prefixes. All shingles are put in one order, and of a text with n of them only the first
 n - ceil(0.8 n) + 1 are posted: two similar texts share at least one posted shingle, whatever the order. So the order
 may be a guess: shingles that are frequent in a sample of the documents come last, and posts of one shingle stay few.
 Texts that meet in a shingle become candidates if their sizes, and what can still follow that shingle in both, allow the
 similarity (this holds for the first shingle that two similar texts share, so no pair is lost). Most false ones go by the
 texts' sketches, some bits a shingle that bound the similarity from above. Others are verified on
-their whole shingle sets, in turns: each text against one of its candidates, to which its set is sent once; then those of its
-other pairs that the links found so far don't connect anyway; in the last turn all that are left. So near copies of one
+their whole shingle sets, in turns, but for pairs that the links found so far (those of fingerprints first) connect anyway: each text
+against one of its candidates, to which its set is sent once; then its other pairs; in the last turn all that are left. So near copies of one
 text cost a set each, not one for each pair of them.
 
 Words are runs of other than ASCII white space, without regard to ASCII case; a text of fewer words than WORDS is one
@@ -24,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, discard, map_arrow, materialise, slices
+from .common import SLICE_CHARS, attach, discard, map_arrow, materialise, slices
 from .components import connected_components
+from .simhash import LIMIT, fingerprints, near_fingerprints
 
 WORDS = 5
 #: The similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
+#: Differing bits up to which fingerprints are candidates. It changes costs alone, as the join by prefixes does the rest.
+BITS = LIMIT
 #: Documents sampled for the order, frequent shingles kept of them, and how often such a one is seen at least. They change costs alone.
 SAMPLE, HOT, OFTEN = 10_000, 1 << 17, 3
 #: Tests up to which a table of them (some 60 bytes each) is broadcast; hashes of words kept by a worker; candidate pairs expanded at once.
@@ -195,10 +202,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chars = SLICE_CHARS // 4  # fingerprints take some 100 bytes a word
     for batch in batches:
-        for part in slices(batch, "text"):
-            words = [words_of(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(class_of, words), pa.binary()), pa.array([sketch(hashes(w)) for w in words], pa.binary())], ["id", "class", "sketch"])
+        for part in slices(batch, "text", chars):
+            texts = part.column("text").to_pylist()
+            fp = pa.array(fingerprints(texts, chars).view(np.int64))
+            words = [words_of(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(class_of, words), pa.binary()), pa.array([sketch(hashes(w)) for w in words], pa.binary()), fp], ["id", "class", "sketch", "fp"])
 
 
 def _star_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,28 +274,62 @@ def _test(rows: DataFrame, points: DataFrame, stars: DataFrame) -> DataFrame:
     return found
 
 
+def _named(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes as pairs of classes, the lesser of which is the hub of the other."""
+    side = lambda n, c: points.select(F.col("node").alias(n), F.col("class").alias(c))
+    named = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("leaf"))
+    return materialise(named.distinct(), "copy-pairs")
+
+
+def near_by_fingerprint(points: DataFrame) -> DataFrame:
+    """(hub, leaf) classes of points (class, node, fp) to test: those of one fingerprint with the first, and first ones within BITS bits.
+
+    Of the latter those that connect a cell of the grid, as in simhash.py, so that m texts of near fingerprints cost no m² tests.
+    """
+    prints = materialise(points.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("_rows")), "copy-fingerprints")
+    same = attach(points.select("fp", "node"), prints.filter("_rows > 1"), "fp", points.count()).filter("rep <> node")
+    pairs = materialise(near_fingerprints(prints, BITS).unionByName(same.select(F.col("rep").alias("a"), F.col("node").alias("b"))), "copy-near")
+    named = _named(pairs, points)
+    discard(prints, pairs)
+    return named
+
+
+def _unconnected(todo: DataFrame, tested: DataFrame, joined: DataFrame) -> DataFrame:
+    """What is left of the pairs todo, which are deleted: those that were not tested and that no links connect."""
+    at = lambda n, c: joined.select(F.col("node").alias(n), F.col("component").alias(c))
+    rest = todo.join(tested.select("hub", "leaf"), ["hub", "leaf"], "left_anti").join(at("hub", "p"), "hub", "left").join(at("leaf", "q"), "leaf", "left")
+    rest = materialise(rest.filter(~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("hub", "leaf"), "copy-pairs")
+    discard(todo)
+    return rest
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class binary, group binary, first): one row per document with an id; first is the smallest id of its group.
 
     Two documents link when their texts are similar; a group is what links reach.
     """
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).filter("id is not null")
-    marked = materialise(map_arrow(rows, _classes, "id bigint, class binary, sketch binary"), "text-classes")
+    marked = materialise(map_arrow(rows, _classes, "id bigint, class binary, sketch binary, fp bigint"), "text-classes")
     total = marked.count()
+    node = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("bigint")
+    points = marked.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("_rows"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
+    points = materialise(points.withColumn("node", node), "text-points")
+    links: DataFrame | None = None
+    joined: DataFrame | None = None
+    near = near_by_fingerprint(points)
+    if not near.isEmpty():
+        links = _test(rows, points, near)
+        joined = connected_components(links)
     hot = frequent(rows, total)
     posts = map_arrow(rows.select("text"), _post(hot), "token bigint, node bigint, at bigint")
     posts = posts.repartition("token").sortWithinPartitions("token", "at")
     pairs = materialise(map_arrow(posts, _meet, "a bigint, b bigint").distinct(), "copy-candidates")
-    points = materialise(marked.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("_rows"), F.first("sketch").alias("sketch")), "text-points")
-    # Pairs of nodes as pairs of classes, the lesser of which is the hub of the other.
-    named = points.select("class", F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("bigint").alias("node"))
-    side = lambda n, c: named.select(F.col("node").alias(n), F.col("class").alias(c))
-    todo = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("leaf"))
-    todo = materialise(todo.distinct(), "copy-pairs")
+    todo = _named(pairs, points)
     discard(pairs)
+    if joined is not None:
+        todo = _unconnected(todo, near, joined)
+    discard(near)
     # Each text is held against one hub first: near copies of one text then are linked, and their other pairs need no test.
-    links: DataFrame | None = None
-    joined: DataFrame | None = None
     for turn in range(TURNS):
         if todo.isEmpty():
             break
@@ -294,11 +338,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = found if links is None else links.unionByName(found)
         joined = connected_components(links)
         if turn < TURNS - 1:
-            at = lambda n, c: joined.select(F.col("node").alias(n), F.col("component").alias(c))
-            rest = todo.join(stars.select("hub", "leaf"), ["hub", "leaf"], "left_anti").join(at("hub", "p"), "hub", "left").join(at("leaf", "q"), "leaf", "left")
-            rest = materialise(rest.filter(~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("hub", "leaf"), "copy-pairs")
-            discard(todo)
-            todo = rest
+            todo = _unconnected(todo, stars, joined)
     if joined is None:
         groups = points.select("class", "rep", "_rows", F.col("class").alias("group"))
     else:
@@ -306,4 +346,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = materialise(groups, "copy-groups")
     first = groups.groupBy("group").agg(F.min("rep").alias("first"))
     names = materialise(groups.join(first, "group").select("class", "group", "first", "_rows"), "copy-names")
-    return attach(marked.drop("sketch"), names, "class", total).select(F.col("id").alias(id_col), "class", "group", "first")
+    return attach(marked.drop("sketch", "fp"), names, "class", total).select(F.col("id").alias(id_col), "class", "group", "first")

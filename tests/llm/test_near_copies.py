@@ -64,6 +64,29 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert shingles.near_copies(d.limit(0)).count() == 0
 
 
+def test_fingerprints_link_what_is_near_and_similar(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(900)]
+        rows += [words, [w.upper() for w in words], *(edited(rng, words, n) for n in (1, 2, 6)), words[:20] * 40, words[:20] * 41]
+        rows += [words[:20] * 90 + edited(rng, words[20:80], 60) for _ in range(2)]  # near fingerprints of different sets
+    texts = [" ".join(w) for w in rows]
+    fp, sets = [int(f) for f in simhash.fingerprints(texts)], [grams(t) for t in texts]
+    group, seen = list(range(len(rows))), set()
+    for a in range(len(rows)):
+        for b in range(a):
+            alike, bits = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]), (fp[a] ^ fp[b]).bit_count()
+            seen.add((alike, min(bits, 4)))
+            if alike and bits <= simhash.LIMIT:
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    assert seen >= {(True, 0), (True, 2), (True, 4), (False, 1), (False, 4)}
+    monkeypatch.setattr(shingles, "_post", lambda hot: lambda batches: iter(()))  # without the join that finds the others
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r["first"] for r in shingles.near_copies(d).collect()} == dict(enumerate(group))
+
+
 def test_stage_drops_similar_texts_that_simhash_keeps(spark):
     rng = random.Random(6)
     rows = []
