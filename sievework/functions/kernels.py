@@ -169,19 +169,27 @@ def semantic_type(t: T.DataType, nulls: bool = False) -> str:
     return "unknown"
 
 
-def _shapely(c: Column) -> Column:
+def shapely(c: Column) -> Column:
     """Without magnitudes below 1e-35, whose cubed variance would vanish and be divided by."""
     return F.when(F.abs(c) < 1e-35, F.lit(0.0)).otherwise(c)
 
 
-def corrected_skewness(c: Column) -> Column:
-    """Bias-corrected; 0 without variance, null for fewer than 3."""
-    n, c = F.count(c).cast("double"), _shapely(c)
+def skewness_of(c: Column) -> Column:
+    """Bias-corrected, of a shapely column; 0 without variance, null for fewer than 3."""
+    n = F.count(c).cast("double")
     return F.when(n >= 3, F.coalesce(F.when(F.var_pop(c) > 0, F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))), F.lit(0.0)))
 
 
-def corrected_kurtosis(c: Column) -> Column:
-    """Bias-corrected excess; 0 without variance, null for fewer than 4."""
-    n, c = F.count(c).cast("double"), _shapely(c)
+def kurtosis_of(c: Column) -> Column:
+    """Bias-corrected excess, of a shapely column; 0 without variance, null for fewer than 4."""
+    n = F.count(c).cast("double")
     g = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis(c) + 6)
     return F.when(n >= 4, F.coalesce(F.when(F.var_pop(c) > 0, g), F.lit(0.0)))
+
+
+def corrected_skewness(c: Column) -> Column:
+    return skewness_of(shapely(c))
+
+
+def corrected_kurtosis(c: Column) -> Column:
+    return kurtosis_of(shapely(c))

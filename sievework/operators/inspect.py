@@ -212,34 +212,47 @@ class DatatypeInspector:
 # Statistics
 
 
-def statistics_table(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None, quartiles: dict[str, list[float] | None] | None = None, only: Sequence[str] | None = None) -> DataFrame:
-    """Per numeric column: count, missing, infinite, extremes, moments, quartiles, sum, signs.
+def statistics_table(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None, quartiles: dict[str, list[float] | None] | None = None, only: Sequence[str] | None = None, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Per numeric column: count, missing, infinite, extremes, moments, quartiles, sum, signs; outlier_count where bounds are given.
 
     Exact quartiles keep a count per distinct value of a column in one task. Either accuracy bounds that
     (percentile_approx), or quartiles found before, by exact_quantiles(), stand in. only names the fields to compute.
     """
     columns = list(columns or numeric_columns(df))
-    f = lambda c: finite(df, c)
+    x, lost = F.col("x"), F.col("lost")
+    # A row a cell first: the aggregates then read plain columns, and their code doesn't grow with the number of columns.
+    fields = lambda c: {"x": finite(df, c), "y": K.shapely(finite(df, c)), "lost": missing(df, c), "out": outside(df, c, *bounds[c]) if c in (bounds or {}) else F.lit(False)}
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), *[v.alias(k) for k, v in fields(c).items()]) for i, c in enumerate(columns)])
     probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quart = (lambda c: F.percentile_approx(f(c), [0.25, 0.5, 0.75], accuracy)) if accuracy else (lambda c: F.percentile(f(c), probs))
-    if quartiles is not None:
-        quart = lambda c: F.first(F.array(*map(F.lit, quartiles[c])) if quartiles.get(c) else F.lit(None).cast("array<double>"))
-    inf = lambda c: F.count_if(~missing(df, c) & f(c).isNull())
     metrics = {
-        "count": lambda c: F.count(f(c)), "missing": lambda c: F.count_if(missing(df, c)), "infinite_count": inf,
-        "minimum": lambda c: F.min(f(c)), "maximum": lambda c: F.max(f(c)), "mean": lambda c: F.avg(f(c)), "sum": lambda c: F.sum(f(c)),
-        "variance": lambda c: F.coalesce(F.var_samp(f(c)), F.lit(0.0)), "standard_deviation": lambda c: F.coalesce(F.stddev_samp(f(c)), F.lit(0.0)),
-        "skewness": lambda c: K.corrected_skewness(f(c)), "kurtosis": lambda c: K.corrected_kurtosis(f(c)),
-        "zero_count": lambda c: F.count_if(f(c) == 0), "negative_count": lambda c: F.count_if(f(c) < 0), "quartiles": quart,
+        "count": F.count(x), "missing": F.count_if(lost), "infinite_count": F.count_if(~lost & x.isNull()),
+        "minimum": F.min(x), "maximum": F.max(x), "mean": F.avg(x), "sum": F.sum(x),
+        "variance": F.coalesce(F.var_samp(x), F.lit(0.0)), "standard_deviation": F.coalesce(F.stddev_samp(x), F.lit(0.0)),
+        "skewness": K.skewness_of(F.col("y")), "kurtosis": K.kurtosis_of(F.col("y")),
+        "zero_count": F.count_if(x == 0), "negative_count": F.count_if(x < 0),
     }
+    if bounds is not None:
+        metrics["outlier_count"] = F.count_if("out")
     q = F.col("quartiles")
     cut = {"q1": q[0], "q2": q[1], "q3": q[2], "median": q[1], "iqr": q[2] - q[0]}
-    names = [*[m for m in metrics if m != "quartiles"], *cut] if only is None else list(only)
+    names = [*metrics, *cut] if only is None else list(only)
     want = {"count", *names, *(["quartiles"] if set(names) & set(cut) else [])}
-    t = per_column(df, columns, {m: x for m, x in metrics.items() if m in want}).filter("count > 0")
+    if quartiles is None:
+        metrics["quartiles"] = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if accuracy else F.percentile(x, probs)
+    t = df.select(F.explode(cells).alias("e")).select("e.*").groupBy("at").agg(*[m.alias(k) for k, m in metrics.items() if k in want])
+    t = t.filter("count > 0").repartition(1).sortWithinPartitions("at").withColumn("column", F.array(*map(F.lit, columns))[F.col("at")])
+    if quartiles is not None:
+        known = F.lit(None).cast("array<double>")
+        for i, c in enumerate(columns):
+            known = F.when(F.col("at") == i, F.array(*map(F.lit, quartiles[c]))).otherwise(known) if quartiles.get(c) else known
+        t = t.withColumn("quartiles", known)
     return t.select("column", *[cut[n].alias(n) if n in cut else F.col(n) for n in names])
 
 
+def fence(q1: float, q3: float, multiplier: float = 1.5) -> tuple[float, float]:
+    return q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)
+
+
 def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, keep_infinite: bool = False) -> dict[str, tuple[float, float]]:
     """Per column (q1 - m iqr, q3 + m iqr), on the driver: literals that the next pass filters by."""
     if not columns:
@@ -248,7 +261,7 @@ def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, keep_
     out = {}
     for c, q in exact_quantiles(df, columns, (0.25, 0.75), f).items():
         if q:
-            out[c] = (q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0]))
+            out[c] = fence(*q, multiplier)
     return out
 
 
@@ -273,16 +286,16 @@ class StatisticsInspector:
         if not names:
             return Report({"numeric_columns": 0, "constant_columns": (), "analyzed_columns": ()})
         quartiles = None if accuracy else exact_quantiles(df, names, (0.25, 0.5, 0.75), lambda c: finite(df, c))
-        rows = {r["column"]: r for r in _rows(statistics_table(df, names, accuracy, quartiles))}
+        bounds = fences(df, names) if quartiles is None else {c: fence(q[0], q[2]) for c, q in quartiles.items() if q}
+        rows = {r["column"]: r for r in _rows(statistics_table(df, names, accuracy, quartiles, bounds=bounds))}
         clean = df.select(*[finite(df, c).alias(c) for c in names])
         more = {r["column"]: r for r in _rows(distinct_and_mode(clean, names))}
-        out = {r["column"]: r["outliers"] for r in _rows(outlier_table(df, list(rows)))} if rows else {}
         reports = []
         for c in names:
             if c in rows:
                 u = more[c]["distinct"]
                 nan = {k: (float("nan") if rows[c][k] is None else rows[c][k]) for k in ("skewness", "kurtosis")}
-                reports.append(rows[c] | nan | {"unique": u, "mode": more[c]["mode_number"], "outlier_count": out.get(c, 0), "constant": u == 1})
+                reports.append(rows[c] | nan | {"unique": u, "mode": more[c]["mode_number"], "constant": u == 1})
         summary = {"numeric_columns": len(reports), "constant_columns": tuple(r["column"] for r in reports if r["constant"]), "analyzed_columns": tuple(r["column"] for r in reports)}
         return Report(summary, reports)
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.kernels import is_numeric, kind_of, value
+from ..functions.kernels import is_fractional, is_integral, is_numeric, kind_of, value
 
 Metric = Callable[[str], Column]
 
@@ -23,16 +24,35 @@ def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, number, n) of present values: one shuffle for all columns, combined before."""
-    entries = []
-    for c in columns:
-        v = value(df, c)
-        number = v.cast("double") if is_numeric(kind_of(df, c)) else F.lit(None).cast("double")
-        text = v.cast("string") if kind_of(df, c).simpleString() != "binary" else F.base64(v)
-        if kind_of(df, c).simpleString().startswith(("array", "map", "struct")):
-            text = F.to_json(F.struct(v.alias("v")))
-        entries.append(F.struct(F.lit(c).alias("column"), text.alias("value"), number.alias("number")))
-    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("value is not null").groupBy("column", "value", "number").agg(F.count("*").alias("n"))
+    """(column, value, number, n) of present values: one shuffle for all columns, combined before.
+
+    Rows are grouped by numbers as they are; the text of a number is made once a group.
+    """
+    fields: dict[str, str] = {}
+    cells, texts, numbers = [], F.col("text"), F.col("real")
+    for i, c in enumerate(columns):
+        v, kind = value(df, c), kind_of(df, c)
+        if is_integral(kind) or kind.simpleString() == "boolean":
+            cells.append({"whole": v.cast("bigint")})
+        elif is_fractional(kind):
+            cells.append({"real": v.cast("double")})
+        elif is_numeric(kind):
+            cells.append({"real": v.cast("double"), "text": v.cast("string")})
+        elif kind.simpleString().startswith(("array", "map", "struct")):
+            cells.append({"text": F.when(v.isNotNull(), F.to_json(F.struct(v.alias("v"))))})
+        else:
+            cells.append({"text": F.base64(v) if kind.simpleString() == "binary" else v.cast("string")})
+        fields |= {f: {"whole": "bigint", "real": "double", "text": "string"}[f] for f in cells[-1]}
+        if "text" not in cells[-1]:
+            f = next(iter(cells[-1]))
+            texts = F.when(F.col("at") == i, F.col(f).cast(kind).cast("string")).otherwise(texts)
+            if is_integral(kind):
+                numbers = F.when(F.col("at") == i, F.col("whole").cast("double")).otherwise(numbers)
+    entries = [F.struct(F.lit(i).alias("at"), *[some.get(f, F.lit(None).cast(t)).alias(f) for f, t in fields.items()]) for i, some in enumerate(cells)]
+    there = reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields])
+    groups = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter(there).groupBy("at", *fields).agg(F.count("*").alias("n"))
+    groups = groups.select("*", *[F.lit(None).cast(t).alias(f) for f, t in (("whole", "bigint"), ("real", "double"), ("text", "string")) if f not in fields])
+    return groups.select(F.array(*map(F.lit, columns))[F.col("at")].alias("column"), texts.alias("value"), numbers.alias("number"), "n")
 
 
 def distinct_and_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:

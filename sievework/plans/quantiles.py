@@ -43,6 +43,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     if known[0] <= EXACT_ROWS:
         row = df.agg(*[F.percentile(of(c), F.array(*map(F.lit, probs))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         return dict(zip(columns, row))
+    # Values made once a row: the conditions below then read plain columns.
+    df, of = df.select(*[of(c).alias(f"x{i}") for i, c in enumerate(columns)]), dict(zip(columns, [F.col(f"x{i}") for i in range(len(columns))])).__getitem__
     found: dict[tuple[int, int], float] = {}
     open_: dict[tuple[int, int], tuple[float, float, int]] = {}  # (column, rank) -> low, high (both inside), rank within
     for i, c in enumerate(columns):
@@ -82,11 +84,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                     del open_[target]
                 else:
                     open_[target] = (r["a"], r["b"], rank)
-        for (i, a, b), targets in small.items():
-            x = of(columns[i])
-            values = sorted(r[0] for r in df.filter((x >= a) & (x <= b)).select(x.alias("x")).collect())
-            for target, rank in targets:
-                found[target] = values[rank]
+        if small:
+            kept = [F.when((of(columns[i]) >= a) & (of(columns[i]) <= b), F.struct(F.lit(k).alias("k"), of(columns[i]).alias("x"))) for k, (i, a, b) in enumerate(small)]
+            some: dict[int, list[float]] = {}
+            for r in df.select(F.explode(F.array_compact(F.array(*kept))).alias("e")).select("e.*").collect():
+                some.setdefault(r["k"], []).append(r["x"])
+            for k, targets in enumerate(small.values()):
+                values = sorted(some[k])
+                for target, rank in targets:
+                    found[target] = values[rank]
     out: dict[str, list[float] | None] = {}
     for i, c in enumerate(columns):
         n = known[1][c][0]

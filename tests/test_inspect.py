@@ -142,3 +142,20 @@ def test_detector_and_plan(raw):
     assert out.data.filter("age is null").count() == 0
     again = api.replay(api.serialize(plan), raw)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, out.data.collect()))
+
+
+def test_statistics_find_quartiles_once_and_moments_by_cell(spark, monkeypatch):
+    """One search of quartiles serves the outliers too; the moments' code does not grow with the columns; groups of numbers hold no text."""
+    from sievework.operators import inspect as I
+    from sievework.plans.metrics import value_counts
+
+    calls, real = [], I.exact_quantiles
+    monkeypatch.setattr(I, "exact_quantiles", lambda *a, **k: calls.append(1) or real(*a, **k))
+    df = spark.createDataFrame([(float(i), i % 3, None if i == 5 else [i % 2]) for i in range(20)] + [(1000.0, 2**60 + 1, None), (float("inf"), 2**60, None), (None, None, None)], "x double, n bigint, a array<int>")
+    r = {r.column: r for r in I.StatisticsInspector().inspect(df).reports}
+    assert calls == [1] and r["x"].outlier_count == 1 and r["x"].infinite_count == 1 and r["x"].missing == 1 and r["x"].unique == 21
+    plan = I.statistics_table(df, ["x", "n"], None, {"x": [0.0, 1.0, 2.0], "n": None})._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("skewness(") == I.statistics_table(df, ["x"], None, {})._jdf.queryExecution().executedPlan().toString().count("skewness(")
+    assert "as string" not in value_counts(df, ["x", "n"])._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].split("\n", 1)[1].lower()
+    counts = {(v["column"], v["value"]): v["n"] for v in value_counts(df, df.columns).collect()}
+    assert counts["n", str(2**60)] == counts["n", str(2**60 + 1)] == 1 and counts["x", "Infinity"] == 1 and sum(n for (c, _), n in counts.items() if c == "a") == 19
