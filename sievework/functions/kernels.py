@@ -85,8 +85,9 @@ def collapse(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    flat = collapse(c)
-    return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+    """Every token with the white space before it becomes its first character, in one pass; printable ASCII is asked for first."""
+    token = f"[!-~{_NOT_SPACE}]"
+    return F.length(F.regexp_replace(c, f"{SPACE}*+({token}?){token}*+", "$1"))
 
 
 def irregular_space(c: Column) -> Column:

@@ -503,16 +503,19 @@ def _need(package: str, what: str) -> None:
 def text_quality_table(df: DataFrame, subset: Sequence[str] | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """Per text column: lengths, token counts, empties, filler, garbage; or only the fields named."""
     names = list(subset or string_columns(df))
-    size, tokens = (lambda c: F.length(col(c))), (lambda c: K.token_count(col(c)))
+    # Lengths and tokens are made once a row: the aggregates read plain columns.
+    made = {(what, c): F.col(f"{what}{i}") for i, c in enumerate(names) for what in ("chars", "tokens")}
     zero = lambda x: F.coalesce(x, F.lit(0))
     metrics = {"count": lambda c: F.count(col(c))}
-    for what, f in (("chars", size), ("tokens", tokens)):
+    for what in ("chars", "tokens"):
+        f = lambda c, w=what: made[w, c]
         metrics |= {
             f"min_{what}": lambda c, f=f: zero(F.min(f(c))).cast("bigint"), f"max_{what}": lambda c, f=f: zero(F.max(f(c))).cast("bigint"),
             f"mean_{what}": lambda c, f=f: F.coalesce(F.avg(f(c)), F.lit(0.0)), f"median_{what}": lambda c, f=f: F.coalesce(F.percentile(f(c), F.lit(0.5)), F.lit(0.0)),
         }
     metrics |= {"empty_count": lambda c: F.count_if(K.strip(col(c)) == ""), "boilerplate_count": lambda c: F.count_if(K.is_filler(col(c))), "garbage_count": lambda c: F.count_if(K.has_garbage(col(c)))}
-    return per_column(df, names, metrics if only is None else {m: metrics[m] for m in only})
+    wide = df.select(*[col(c) for c in names], *[{"chars": F.length, "tokens": K.token_count}[what](col(c)).alias(f"{what}{names.index(c)}") for what, c in made])
+    return per_column(wide, names, metrics if only is None else {m: metrics[m] for m in only})
 
 
 class TextQualityAnalyzer:

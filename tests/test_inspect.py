@@ -159,3 +159,17 @@ def test_statistics_find_quartiles_once_and_moments_by_cell(spark, monkeypatch):
     assert "as string" not in value_counts(df, ["x", "n"])._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].split("\n", 1)[1].lower()
     counts = {(v["column"], v["value"]): v["n"] for v in value_counts(df, df.columns).collect()}
     assert counts["n", str(2**60)] == counts["n", str(2**60 + 1)] == 1 and counts["x", "Infinity"] == 1 and sum(n for (c, _), n in counts.items() if c == "a") == 19
+
+
+def test_tokens_are_counted_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.functions import kernels as K
+    from sievework.operators import inspect as I
+
+    texts = ["", " ", "a", " a ", "a b", "\ta  bc\n\nd \x1f", "\U0001f600\U0001f600 x", "　", "$1 \\ $", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(K.token_count(F.col("text"))).collect()] == [None if t is None else len(t.split()) for t in texts]
+    t = I.text_quality_table(df, ["text"], ["count", "min_tokens", "max_tokens", "mean_tokens", "median_tokens", "max_chars"])
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert tuple(t.first())[1:5] == (9, 0, 3, sum(len(x.split()) for x in texts[:-1]) / 9)
