@@ -137,7 +137,12 @@ def to_number(c: Column) -> Column:
 
 def match_key(df: DataFrame, names: list[str]) -> Column:
     """Normalised identity of a row: text in lower case with white space collapsed, missing as the empty text."""
-    one = lambda n: F.coalesce(collapse(F.lower(value(df, n).cast("string"))), F.lit(""))
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)  # nothing to collapse in their text
+
+    def one(n: str) -> Column:
+        text = F.lower(value(df, n).cast("string"))
+        return F.coalesce(text if isinstance(kind_of(df, n), plain) else collapse(text), F.lit(""))
+
     return F.concat_ws("\x1f", *map(one, names))
 
 

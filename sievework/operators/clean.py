@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import DataTypeConversionError, DataValidationError, EncodingError, RegistryError
@@ -170,11 +171,19 @@ def fused_fills(df: DataFrame, operations: Sequence[FillMissing]) -> tuple[list[
     number = lambda c: value(df, c).cast("double")
     means = [c for op, some in zip(operations, names) if op.strategy == "mean" for c in some]
     medians = [c for op, some in zip(operations, names) if op.strategy == "median" for c in some]
-    edges, read = ranges_of(df, medians, number)
-    row = df.agg(*[x.alias(f"x{i}") for i, x in enumerate([F.count("*"), *[F.count_if(missing(df, c)) for c in flat], *[F.avg(number(c)) for c in means], *edges])]).first()
-    lost, mean = dict(zip(flat, row[1:])), dict(zip(means, row[1 + len(flat) :]))
-    middle = {c: q[0] for c, q in exact_quantiles(df, [c for c in medians if lost[c]], (0.5,), number, (row[0], read(row[1 + len(flat) + len(means) :]))).items() if q}
-    most = modes(df, [c for op, some in zip(operations, names) if op.strategy == "mode" for c in some if lost[c]])
+    # The columns alone are kept while several queries read them: what made the frame, such as a deduplication, runs once.
+    df = df.select(*[col(c) for c in flat])
+    ours = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK) if ours else df
+    try:
+        edges, read = ranges_of(df, medians, number)
+        row = df.agg(*[x.alias(f"x{i}") for i, x in enumerate([F.count("*"), *[F.count_if(missing(df, c)) for c in flat], *[F.avg(number(c)) for c in means], *edges])]).first()
+        lost, mean = dict(zip(flat, row[1:])), dict(zip(means, row[1 + len(flat) :]))
+        middle = {c: q[0] for c, q in exact_quantiles(df, [c for c in medians if lost[c]], (0.5,), number, (row[0], read(row[1 + len(flat) + len(means) :]))).items() if q}
+        most = modes(df, [c for op, some in zip(operations, names) if op.strategy == "mode" for c in some if lost[c]])
+    finally:
+        if ours:
+            df.unpersist()
     out = []
     for op, some in zip(operations, names):
         if op.strategy == "constant":

@@ -138,3 +138,25 @@ def test_pipeline(small):
         P.PipelineEngine([P.CallableStep(lambda d: 1, "bad")]).run(small)
     with pytest.raises(RuntimeError, match="bad"):
         P.PipelineEngine([P.CallableStep(lambda d: d.select("absent"), "bad")]).run(small)
+
+
+def test_fills_read_what_made_the_frame_once(spark):
+    """Statistics of several fills take one run of the steps before them, and keep nothing afterwards."""
+    from pyspark.sql import functions as F
+
+    from sievework.functions import kernels as K
+    from sievework.operators import clean as C
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.createDataFrame([(1, "a"), (3, "b"), (None, "b"), (5, None)], "x int, t string").withColumn("x", counted("x"))
+    fills, lost, n = C.fused_fills(df, [C.FillMissing("median", None, ["x"]), C.FillMissing("mode", None, ["t"])])
+    assert (fills, lost, n) == ([{"x": 3.0}, {"t": "b"}], {"x": 1, "t": 1}, 4)
+    assert seen.value == 4 and spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    odd = spark.createDataFrame([(" A\t b ", 1e10, True, None)], "t string, d double, f boolean, e string").select("*", F.lit("2020-01-01 01:02:03").cast("timestamp").alias("at"))
+    assert odd.select(K.match_key(odd, odd.columns)).first()[0] == "a b\x1f1.0e10\x1ftrue\x1f\x1f2020-01-01 01:02:03"
