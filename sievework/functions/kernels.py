@@ -81,7 +81,9 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, SPACE + "+", " "), "^ | \\z", "")
+    token = f"[!-~{_NOT_SPACE}]"  # printable ASCII is asked for first
+    regular = c.rlike(f"\\A(?:{token}++(?: {token}++)*+)?+\\z")
+    return F.when(regular, c).otherwise(F.regexp_replace(F.regexp_replace(c, SPACE + "+", " "), "^ | \\z", ""))
 
 
 def token_count(c: Column) -> Column:
@@ -117,7 +119,9 @@ def has_garbage(c: Column) -> Column:
 
 def is_missing_token(c: Column, extra: Iterable[str] = ()) -> Column:
     tokens = MISSING_TOKENS | {t.strip().casefold() for t in extra} | {t.strip().lower() for t in extra}
-    return F.lower(strip(c)).isin(*sorted(tokens))
+    # Only short texts can be tokens: lower case never has fewer characters.
+    short = c.rlike(f"(?s)\\A{SPACE}*+.{{0,{max(map(len, tokens))}}}{SPACE}*+\\z")
+    return short & F.lower(strip(c)).isin(*sorted(tokens))
 
 
 def repair(c: Column) -> Column:

@@ -46,3 +46,17 @@ def test_missing_and_names(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (float("inf"), "b"), (None, "c")], "x double, `odd name.x` string")
     assert df.agg(F.count_if(K.missing(df, "x")), F.count_if(K.missing(df, "odd name.x")), F.count(K.finite(df, "x"))).first() == (2, 1, 1)
     assert K.numeric_columns(df) == ["x"] and K.string_columns(df) == ["odd name.x"]
+
+
+def test_regular_texts_skip_the_costly_patterns(spark):
+    from pyspark.sql import functions as F
+
+    parts = ["", " ", "  ", "\t", " ", "\xa0", "a", "N/A", "null", "İ", "\U0001f600", "\n", "\x1f"]
+    texts = sorted({a + b + c + d for a in parts for b in parts for c in parts for d in ("", " ", "b")})
+    c = F.col("t")
+    old_space = F.regexp_replace(F.regexp_replace(c, K.SPACE + "+", " "), "^ | \\z", "")
+    old_token = F.lower(K.strip(c)).isin(*sorted(K.MISSING_TOKENS | {"a b"}))
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "x" * 100_000, "x " * 50_000]], "t string")
+    assert df.filter(~K.collapse(c).eqNullSafe(old_space) | ~K.is_missing_token(c, ["a b"]).eqNullSafe(old_token)).count() == 0
+    plan = df.select(K.collapse(c).alias("a"), K.is_missing_token(c).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2
